@@ -22,6 +22,8 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +55,11 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
     docs = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)), F.lit(-1)).cast("int"))
     # The first row of each range, at most MOST_RANGES + 1 of them, and the range above it that needs it.
-    firsts = sorted((r["range"], r["first"]) for r in docs.groupBy("range").agg(F.max("doc_id").alias("first")).collect())
-    needed = [(r, first, firsts[(at + 1) % len(firsts)][0]) for at, (r, first) in enumerate(firsts)]
-    ghosts = spark.createDataFrame(needed or [(0, 0, 0)], "range int, doc_id long, to int")
+    firsts = sorted(tuple(r) for r in docs.groupBy("range").agg(F.max("doc_id").alias("first")).collect())
+    needed = [{"_range": r, "_first": first, "_to": firsts[(at + 1) % len(firsts)][0]} for at, (r, first) in enumerate(firsts)]
+    ghosts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(needed)), "array<struct<_range:int,_first:long,_to:int>>")))
     extra = (
-        docs.join(F.broadcast(ghosts.toDF("_range", "_first", "_to")), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+        docs.join(F.broadcast(ghosts), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_first")))
         .select("doc_id", "text", F.col("_to").alias("range"), F.lit(True).alias("ghost"))
     )
     both = docs.select("doc_id", "text", "range", F.lit(False).alias("ghost")).unionAll(extra)
@@ -93,7 +95,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lo
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, one row per row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text"))
     # An entry with an empty term keeps every text in the join below.
-    words = lexicon(docs, low, high).unionAll(docs.sparkSession.createDataFrame([("", "")], "term string, digest string"))
+    words = lexicon(docs, low, high).unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit("").alias("digest")))
     near = _neighbours(docs).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     texts = near.select(
         "range", "place", "ghost", "doc_id", F.char_length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
