@@ -1,11 +1,420 @@
-"""All queries of the engine and their SQL, by name."""
+"""All queries of the engine by name, with the SQL that gives the same rows.
+
+Names end in the ids of the operators that they exercise. Every query reads
+whole tables. ``FIXTURES`` of small literal pages serve the operators whose
+branches the tables never take; their SQL lists the expected rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.functions import text as T
+from pageloom.functions import urls as U
+from pageloom.operators import dom
+from pageloom.operators import relational as R
+from pageloom.plans import fixtures
+from pageloom.plans.review import keep_all, review_articles
+from pageloom.plans.standard import Options, extract_articles
+from pageloom.sources import epub, inputs
+from pageloom.streaming import jobs
+
+PLAIN = Options(formulas=False, repeats=False)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
-def queries() -> dict:
-    return {}
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---------------------------------------------------------------- extraction
+
+_BODY = "regexp_extract(html,'(?s)<article>(.*?)</article>',1)"
+_PLAIN = (
+    f"trim(regexp_replace(replace(replace(regexp_replace(regexp_replace({_BODY},'(?s)<h1>.*?</h1>',' '),'<[^>]*>',' ','g'),'&quot;','\"'),'&amp;','&'),'\\s+',' ','g'))"
+)
+_TITLE = "trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html,'(?s)<h1>(.*?)</h1>',1),'<[^>]*>',' ','g'),'&quot;','\"'),'&amp;','&'),'\\s+',' ','g'))"
+
+
+@query(f"select page_id, case when length({_PLAIN}) >= 100 then {_TITLE} end as title, case when length({_PLAIN}) >= 100 then 'Unknown author' end as author, case when length({_PLAIN}) >= 100 then {_PLAIN} end as text, length({_PLAIN}) < 100 as failed from pages")
+def articles(spark, sf_dir):
+    """The article of every page, or that there is none."""
+    got = extract_articles(_pages(spark, sf_dir), PLAIN)
+    return got.select("page_id", "title", "author", "text", F.col("error").isNotNull().alias("failed"))
+
+
+@query(
+    f"""with p as (select page_id, html, regexp_extract_all({_BODY},'(?s)<p>([^<]*)</p>',1) ps from pages), x as (select page_id, unnest(ps) t from p),
+k as (select page_id, trim(regexp_replace(replace(replace(t,'&quot;','"'),'&amp;','&'),'\\s+',' ','g')) t from x), d as (select page_id, count(*) - count(distinct t) n from k where t <> '' group by page_id)
+select pages.page_id, case when length({_PLAIN}) >= 100 then coalesce(n, 0) else 0 end as n_repeats from pages left join d on pages.page_id = d.page_id"""
+)
+def repeated_blocks_T4(spark, sf_dir):
+    """How many repeated blocks are dropped from each article."""
+    return extract_articles(_pages(spark, sf_dir), Options(formulas=False)).select("page_id", "n_repeats")
+
+
+@query()
+def full_articles_T3(spark, sf_dir):
+    """All of the standard extraction with formulas and repeated blocks."""
+    return extract_articles(_pages(spark, sf_dir)).select("page_id", "title", "author", "published_date", "source_url", "html", "text", "headings", "images", "links", "warnings", "error")
+
+
+@query(f"select page_id, 'Could not find enough readable article content (it may be paywalled).' as error from pages where length({_PLAIN}) < 100")
+def short_articles_P5(spark, sf_dir):
+    return extract_articles(_pages(spark, sf_dir), PLAIN).filter("error is not null").select("page_id", "error")
+
+
+@query(
+    "with x as (select page_id, regexp_extract(url,'^([a-z]+://[^/?#]*)',1) o, unnest(regexp_extract_all(html,'<a href=\"([^\"]*)\"',1)) h from pages) select page_id, o || h as link, count(*) as n from x group by all"
+)
+def absolute_links_F11(spark, sf_dir):
+    """All links of a page, absolute, from the node table."""
+    links = dom.nodes(_pages(spark, sf_dir)).filter("tag = 'a'").select("page_id", R.attribute("href").alias("href"))
+    urls = _pages(spark, sf_dir).select("page_id", "url")
+    return links.join(urls, "page_id").groupBy("page_id", U.absolute_url("href", "url").alias("link")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- node table
+
+_COUNT = "(len(regexp_extract_all({h}, '<{t}[ >]')))::bigint"
+_VISIBLE = "regexp_replace(html,'(?s)<script>.*?</script>','<script></script>','g')"
+
+
+@query(
+    "select tag, sum(n)::bigint as n from (" + " union all ".join(f"select '{t}' tag, {_COUNT.format(h=_VISIBLE, t=t)} n from pages" for t in ("nav", "footer", "a", "li", "ul", "p", "b", "article", "h1", "div", "script", "style", "title")) + ") group by tag"
+)
+def node_stats_U1(spark, sf_dir):
+    """Elements by tag."""
+    tags = ["nav", "footer", "a", "li", "ul", "p", "b", "article", "h1", "div", "script", "style", "title"]
+    return dom.nodes(_pages(spark, sf_dir)).filter(F.col("tag").isin(tags)).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCORE_TEXT = f"trim(regexp_replace(replace(replace(regexp_replace({_BODY},'<[^>]*>',' ','g'),'&quot;','\"'),'&amp;','&'),'\\s+',' ','g'))"
+
+
+@query(
+    f"select page_id, (length({_SCORE_TEXT}) + 80 * len(regexp_extract_all({_BODY},'<p>')) + 40 * len(regexp_extract_all({_BODY},'<h[1-4]>')))::bigint as score from pages"
+)
+def content_scores_A1(spark, sf_dir):
+    """The best candidate root of every page and its score, relationally."""
+    found = dom.nodes(_pages(spark, sf_dir))
+    return R.best_roots(R.content_scores(found, R.candidate_roots(found))).select("page_id", "score")
+
+
+@query(f"select page_id, {_COUNT.format(h='html', t='nav')} as nav, {_COUNT.format(h='html', t='footer')} as footer, {_COUNT.format(h='html', t='script')} as script, {_COUNT.format(h='html', t='style')} as style from pages")
+def noise_report_P23(spark, sf_dir):
+    """Noisy elements of each page."""
+    count = lambda t: F.count(F.when(F.col("tag") == t, 1)).alias(t)
+    return dom.nodes(_pages(spark, sf_dir)).filter("kind = 'tag'").groupBy("page_id").agg(*map(count, ("nav", "footer", "script", "style")))
+
+
+@query(f"select page_id, {_COUNT.format(h=_BODY, t='p')} as inside, ({_COUNT.format(h=_VISIBLE, t='p')} - {_COUNT.format(h=_BODY, t='p')})::bigint as outside from pages")
+def interval_joins_J2(spark, sf_dir):
+    """Paragraphs within and outside of articles by interval semi and anti joins."""
+    found = dom.nodes(_pages(spark, sf_dir))
+    paragraphs, roots = found.filter("tag = 'p'").select("page_id", "pre"), found.filter("tag = 'article'").select("page_id", "pre", "last")
+    inside = R.within(paragraphs, roots).withColumn("where", F.lit("in"))
+    outside = R.within(paragraphs, roots, "left_anti").withColumn("where", F.lit("out"))
+    n = lambda w: F.count(F.when(F.col("where") == w, 1))
+    counted = inside.unionByName(outside).groupBy("page_id").agg(n("in").alias("inside"), n("out").alias("outside"))
+    return _pages(spark, sf_dir).select("page_id").join(counted, "page_id", "left").na.fill(0)
+
+
+@query(f"select page_id, {_SCORE_TEXT} as text from pages")
+def source_order_text_T9(spark, sf_dir):
+    """The text of each article put together in source order by an ordered aggregate."""
+    found = dom.nodes(_pages(spark, sf_dir))
+    return R.visible_text(found, found.filter("tag = 'article'").select("page_id", "pre", "last")).select("page_id", "text")
+
+
+@query(f"select page_id, 1::bigint as n_roots, {_COUNT.format(h=_BODY, t='p')} as paragraphs from pages where {_COUNT.format(h=_BODY, t='p')} > 0")
+def nearest_ancestors_J8(spark, sf_dir):
+    """The innermost article around each paragraph."""
+    found = dom.nodes(_pages(spark, sf_dir))
+    near = R.nearest(found.filter("tag = 'p'").select("page_id", "pre"), found.filter("tag = 'article'").select("page_id", "pre", "last", "depth"))
+    return near.groupBy("page_id").agg(F.count_distinct("root_pre").alias("n_roots"), F.count(F.lit(1)).alias("paragraphs"))
+
+
+@query("select page_id, 0::bigint as scripts, 0::bigint as handlers, (len(regexp_extract_all(html,'<title>')))::bigint as titles from pages")
+def inert_snapshots_S8(spark, sf_dir):
+    """Snapshots without scripts and event handlers."""
+    left = R.scrubbed(dom.nodes(_pages(spark, sf_dir)))
+    handlers = F.size(F.filter(F.map_keys(F.coalesce("attrs", F.create_map().cast("map<string,string>"))), lambda k: k.startswith("on")))
+    return left.groupBy("page_id").agg(F.count(F.when(F.col("tag") == "script", 1)).alias("scripts"), F.sum(handlers).cast("long").alias("handlers"), F.count(F.when(F.col("tag") == "title", 1)).alias("titles"))
+
+
+# ---------------------------------------------------------------- functions
+
+_BAD_URLS = ["ftp://a.com/", "http://localhost/x", "http://u:p@a.com/", "http://a.com:99999/", "http://a.com:80/", "http://printer.local/", "http://a.test/", "http://x.example.com/", "http://single/", "http://a.123/", "http://-a.com/", "https://A.COM./p"]
+_URL_ROWS = ", ".join(f"('{u}')" for u in _BAD_URLS)
+_HOST = "lower(regexp_replace(regexp_replace(a, ':[^:]*$', ''), '\\.+$', ''))"
+
+
+@query(
+    f"""with u as (select url from pages union all select * from (values {_URL_ROWS}) v(url)), a as (select url, regexp_extract(url,'^[a-zA-Z]+://([^/?#]*)',1) a from u), h as (select url, a, {_HOST} h, regexp_extract(a,':([^:]*)$',1) port from a)
+select url, (regexp_matches(url,'^https?://') and not contains(a,'@') and (port = '' or try_cast(port as integer) <= 65535) and not regexp_matches(h,'\\.(localhost|local|internal|lan|home|home\\.arpa)$')
+and regexp_matches(h,'^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$') and not regexp_matches(h,'\\.(test|example|invalid|localhost|local|internal|lan|[0-9]+)$')) as allowed from h"""
+)
+def url_policy_P1(spark, sf_dir):
+    """Allowed addresses, by names only and by the full test, which agree on these."""
+    rows = _pages(spark, sf_dir).select("url").unionAll(spark.range(1).select(F.explode(F.array(*map(F.lit, _BAD_URLS))).alias("url")))
+    return rows.select("url", (U.allowed_name("url") & U.allowed_url("url")).alias("allowed"))
+
+
+_SLUG = f"coalesce(nullif(left(trim(regexp_replace(lower({_TITLE}),'[^a-z0-9]+','-','g'),'-'),80),''),'article')"
+
+
+@query(
+    f"""with s as (select page_id, {_SLUG} || '-' || left(sha256(url),8) stem from pages where length({_PLAIN}) >= 100), n as (select page_id, stem, row_number() over (partition by stem order by page_id) n from s)
+select page_id, stem || case when n > 1 then '-' || n else '' end || '.epub' as file_name from n"""
+)
+def file_names_K2(spark, sf_dir):
+    """File names with suffixes for collisions."""
+    return epub.file_names(extract_articles(_pages(spark, sf_dir), PLAIN))
+
+
+@query(
+    """select page_id, left(h,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab') || substr(h,18,3) || '-' || substr(h,21,12) as package_id
+from (select page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) h from pages)"""
+)
+def package_ids_F15(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", T.package_id("url").alias("package_id"))
+
+
+@query(
+    """with t as (select doc_id, text from documents union all select * from (values (-1, 'a\U0001f600b☀️c'), (-2, '\U0001f1e9\U0001f1ea x‍y'), (-3, 'plain')) v(doc_id, text))
+select doc_id, regexp_replace(text, '[\\x{1F1E6}-\\x{1F1FF}\\x{1F300}-\\x{1FAFF}\\x{2300}-\\x{23FF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}\\x{FE0F}\\x{200D}]', '', 'g') as text from t"""
+)
+def without_emojis_F13(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionAll(spark.createDataFrame([(-1, "a\U0001f600b☀️c"), (-2, "\U0001f1e9\U0001f1ea x‍y"), (-3, "plain")], "doc_id long, text string"))
+    return rows.select("doc_id", T.without_emojis("text").alias("text"))
+
+
+@query(
+    "select page_id, replace(replace(replace(replace(replace(url,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;') as escaped, case when length(url) > 40 then rtrim(left(url,37)) || '...' else url end as short from pages"
+)
+def escapes_F14(spark, sf_dir):
+    """Escaping and excerpts."""
+    return _pages(spark, sf_dir).select("page_id", T.escape_html("url").alias("escaped"), T.excerpt("url", 40).alias("short"))
+
+
+@query(fixtures.sql("authors"))
+def author_names_F10(spark, sf_dir):
+    """byline cleaning."""
+    return fixtures.frame(spark, "authors").select("given", T.author_name("given").alias("name"))
+
+
+@query(fixtures.sql("dates"))
+def dates_F5(spark, sf_dir):
+    return fixtures.frame(spark, "dates").select("given", T.iso_date("given").cast("string").alias("day"))
+
+
+# ---------------------------------------------------------------- windows, votes, lists
+
+_LINES = "select doc_id, unnest(string_split(text,chr(10))) l, generate_subscripts(string_split(text,chr(10)),1) i from documents"
+
+
+def _lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    return docs.select("doc_id", F.posexplode("l").alias("i", "l")).select("doc_id", (F.col("i") + 1).alias("i"), F.trim("l").alias("l"))
+
+
+@query(
+    f"""with recursive lines as ({_LINES}), e as (select doc_id, row_number() over (partition by doc_id order by i) id, length(trim(l)) n from lines where trim(l) <> ''),
+s as (select doc_id, id, n, sum(n) over (partition by doc_id order by id)::bigint cs, count(*) over (partition by doc_id) tot from e),
+nx as (select a.doc_id, a.id, greatest(a.id, coalesce(max(b.id), a.id)) e_end, any_value(a.tot) tot from s a left join s b on a.doc_id = b.doc_id and b.id >= a.id and b.id - a.id < 40 and b.cs - a.cs + a.n <= 18000 group by a.doc_id, a.id),
+w as (select doc_id, 1::bigint w, id st, e_end en, tot from nx where id = 1 union all select nx.doc_id, w.w + 1, nx.id, nx.e_end, nx.tot from w join nx on nx.doc_id = w.doc_id and nx.id = greatest(w.st + 1, w.en - 1) where w.en < w.tot)
+select doc_id, w, st::bigint as st, en::bigint as en from w"""
+)
+def greedy_windows_W1(spark, sf_dir):
+    """Overlapping windows over the lines of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.length(x)).alias("sizes"))
+    return R.greedy_windows(docs, "doc_id", "sizes")
+
+
+@query(
+    """with recursive r as (select doc_id, 0::bigint part, ''::varchar piece, text rest from documents union all
+select doc_id, part + 1, left(rest, c), ltrim(substr(rest, c + 1), ' ' || chr(9) || chr(10) || chr(13)) from (select *, case when length(rest) <= 6000 then 6000 when strpos(reverse(left(rest,6000)),' ') = 0 then 6000 when 6000 - strpos(reverse(left(rest,6000)),' ') >= 3000 then 6000 - strpos(reverse(left(rest,6000)),' ') else 6000 end c from r) where rest <> '')
+select doc_id, part, piece from r where part > 0"""
+)
+def pieces_U5(spark, sf_dir):
+    """Whole texts in pieces of at most 6,000 characters."""
+    return R.split_pieces(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    """select conv_id, turn, trim(concat_ws(' ', lag(role || ': ' || left(text,220)) over w, lead(role || ': ' || left(text,220)) over w)) as nearby from conversations window w as (partition by conv_id order by turn)"""
+)
+def nearby_W2(spark, sf_dir):
+    """What stands before and after each turn."""
+    near = R.nearby(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return near.select("conv_id", "turn", F.trim("nearby").alias("nearby"))
+
+
+@query(
+    f"""with b as (select doc_id, i, trim(l) t from ({_LINES})), c as (select *, coalesce(sum(length(t)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding),0) before from b)
+select doc_id, min(case when before >= 100 and regexp_matches(t, '(?i)^(the|and|read more|related (articles?|stories|content))\\b') then i end)::bigint as boundary from c group by doc_id"""
+)
+def boundaries_W3(spark, sf_dir):
+    """The first line that starts with a cue after 100 characters, with cues that these texts have."""
+    from pyspark.sql import Window
+
+    lines = _lines(spark, sf_dir)
+    before = F.coalesce(F.sum(F.length("l")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cue = F.col("l").rlike(r"(?i)^(the|and|read more|related (articles?|stories|content))\b")
+    return lines.withColumn("before", before).groupBy("doc_id").agg(F.min(F.when((F.col("before") >= 100) & cue, F.col("i"))).cast("long").alias("boundary"))
+
+
+_VOTE = "case turn % 5 when 0 then 'noise' when 1 then 'author' when 2 then 'title' when 3 then 'body' else 'subtitle' end"
+
+
+@query(
+    f"""with v as (select conv_id, role, {_VOTE} l from conversations), r as (select conv_id, role, min(case l when 'body' then 0 when 'subtitle' then 1 when 'title' then 2 when 'author' then 3 else 4 end) k from v group by all)
+select conv_id, role, ['body','subtitle','title','author','noise'][k + 1] as label from r"""
+)
+def votes_A5(spark, sf_dir):
+    """Labels by precedence."""
+    vote = F.element_at(F.array(*map(F.lit, ("noise", "author", "title", "body", "subtitle"))), (F.col("turn") % 5 + 1).cast("int"))
+    return R.resolved_votes(table(spark, sf_dir, "conversations").withColumn("vote", vote), ["conv_id", "role"], "vote")
+
+
+@query("select conv_id, list_sort(list(distinct turn)) = list_sort(list(distinct turn) filter (where text <> '')) as complete from conversations group by conv_id")
+def key_sets_X3(spark, sf_dir):
+    """Whether an answer has exactly the asked ids."""
+    asked = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), "text")
+    return R.same_keys(asked, asked.filter("text <> ''"), "conv_id")
+
+
+@query("with f as (select conv_id, role, min(turn) t from conversations group by all) select conv_id, string_agg(role, ', ' order by t) as roles from f group by conv_id")
+def distinct_in_order_A6(spark, sf_dir):
+    """Different values in order of first occurrence."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(T.distinct_in_order("role", "turn"), ", ").alias("roles"))
+
+
+@query("select row_number() over (order by page_id)::int as position, url, null::varchar as error from (select url, min(page_id) page_id from pages group by url) where true qualify row_number() over (order by page_id) <= 1000 union all select row_number() over (order by page_id)::int, url, 'Batch input exceeds 1000 unique articles.' from (select url, min(page_id) page_id from pages group by url) qualify row_number() over (order by page_id) > 1000")
+def url_list_S4(spark, sf_dir):
+    """A list of addresses with repeats, comments and blanks."""
+    pages = _pages(spark, sf_dir)
+    lines = pages.select(F.col("page_id").alias("line_no"), F.concat(F.lit("  "), "url", F.lit(" ")).alias("line"))
+    lines = lines.unionAll(pages.select(F.col("page_id") + 1_000_000, "url")).unionAll(spark.createDataFrame([(-1, "# comment"), (-2, "   ")], "line_no long, line string"))
+    return inputs.url_list(lines)
+
+
+@query(
+    f"""with c as (select count(*) total, count(*) filter (where length({_PLAIN}) >= 100) ok, count(*) filter (where length({_PLAIN}) < 100) bad from pages)
+select 1 as "schemaVersion", 'batch' as command, case when ok > 0 and bad > 0 then 'partial' when bad > 0 then 'error' else 'ok' end as status, total, ok as succeeded, bad as failed, case when ok > 0 and bad > 0 then 3 when bad > 0 then 1 else 0 end as "exitCode" from c"""
+)
+def batch_report_A9(spark, sf_dir):
+    """The counts of a run."""
+    return epub.report(extract_articles(_pages(spark, sf_dir), PLAIN)).drop("json")
+
+
+@query(
+    """with j as (select event_id job_id, epoch(ts) moment, event_type = 'purchase' or value > 50 terminal from events), m as (select max(moment) latest from j), y as (select j.* from j, m where not terminal or moment > latest - 3600),
+k as (select *, row_number() over (partition by terminal order by moment, job_id) place, count(*) over () n from y) select job_id, terminal from k where not terminal or place > greatest(0, n - 31)"""
+)
+def retention_R2(spark, sf_dir):
+    """R2: which jobs of a log are kept, by age and by number."""
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), ((F.col("event_type") == "purchase") | (F.col("value") > 50)).alias("terminal"))
+    now = log.agg(F.max("at").alias("now")).first()["now"] or 0
+    rows = log.select("job_id", (F.col("at") / 1e6).alias("finished_at"), F.struct("at", "job_id").alias("inserted"), "terminal")
+    return jobs.retained(rows, F.lit(now / 1e6)).select("job_id", "terminal")
+
+
+@query(f"select page_id, {_TITLE} as title, 'Unknown author' as author, url as source_url, null::varchar as error from pages where length({_PLAIN}) >= 100")
+def packages_K1(spark, sf_dir):
+    """Packages of all articles, written and read back."""
+    return epub.read_packages(epub.packages(extract_articles(_pages(spark, sf_dir), PLAIN))).select("page_id", "title", "author", "source_url", "error")
+
+
+# ---------------------------------------------------------------- fixtures
+
+
+@query(fixtures.sql("metadata"))
+def metadata_F2(spark, sf_dir):
+    """F2-F8: where titles, authors and dates come from."""
+    got = extract_articles(fixtures.frame(spark, "metadata"))
+    return got.select("page_id", "title", "author", "published_date")
+
+
+@query(fixtures.sql("rewrites"))
+def rewrites_T1(spark, sf_dir):
+    """What trimming, noise removal, formulas and sanitizing leave."""
+    got = extract_articles(fixtures.frame(spark, "rewrites"))
+    return got.select("page_id", F.regexp_replace("html", "z{100}", "Z").alias("html"), F.array_join("warnings", "; ").alias("warnings"), "error")
+
+
+@query(fixtures.sql("reviewed"))
+def reviewed_blocks_H1(spark, sf_dir):
+    """Labels and decisions of all blocks."""
+    got = review_articles(fixtures.frame(spark, "reviewed"), fixtures.rule_labeller)
+    rows = got.select("page_id", F.explode("blocks").alias("b"))
+    return rows.select("page_id", F.col("b.block").alias("block"), F.col("b.label").alias("label"), F.col("b.excluded").alias("excluded"), F.left("b.text", F.lit(24)).alias("text"))
+
+
+@query(fixtures.sql("fallback"))
+def review_fallback_R8(spark, sf_dir):
+    """What a labeller that breaks the rules leads to."""
+    got = review_articles(fixtures.frame(spark, "reviewed"), fixtures.broken_labeller)
+    return got.select("page_id", "analysis_mode", "fallback_reason", F.get("warnings", F.lit(0)).alias("warning"))
+
+
+@query()
+def reviewed_pages_D6(spark, sf_dir):
+    """Reviewed extraction of all pages with the labeller that agrees with the rules."""
+    return review_articles(_pages(spark, sf_dir), keep_all).select("page_id", "title", "author", "analysis_mode", "fallback_reason", F.size("blocks").alias("n_blocks"), F.size(F.filter("blocks", lambda b: b["excluded"])).alias("n_excluded"))
+
+
+@query(fixtures.sql("captures"))
+def captures_S3(spark, sf_dir):
+    """Validation of captures."""
+    return inputs.captures(fixtures.frame(spark, "captures")).select("id", "title", "publishedDate", "error")
+
+
+@query(fixtures.sql("images"))
+def inline_images_S9(spark, sf_dir):
+    """Inline images and which of them fit the budget."""
+    rows = fixtures.frame(spark, "images")
+    kind, data = inputs.inline_image(F.col("source"))
+    read = rows.select("page_id", "seq", kind.alias("kind"), data.alias("data")).withColumn("size", F.coalesce(F.length("data"), F.lit(0)) * 1_000_000)
+    return read.join(inputs.budgeted(read), ["page_id", "seq"]).select("page_id", "seq", "kind", F.length("data").alias("bytes"), "fits")
+
+
+@query(fixtures.sql("replies"))
+def replies_R5(spark, sf_dir):
+    """Streamed replies put together."""
+    return jobs.reply(fixtures.frame(spark, "replies"))
+
+
+@query(fixtures.sql("reads"))
+def read_once_R6(spark, sf_dir):
+    """A store that forgets what was read."""
+    return jobs.read_once(fixtures.frame(spark, "puts"), fixtures.frame(spark, "reads"))
