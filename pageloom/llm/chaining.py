@@ -277,7 +277,8 @@ def repeated_passages(
     seeds = _seeds(docs, k, w)
     place = F.struct("doc_id", "word")
     shared = seeds.groupBy("seed").agg(F.min(place).alias("at"), F.max("doc_id").alias("last")).filter("at.doc_id != last")
-    shared = shared.select("seed", F.col("at.doc_id").alias("ref"), F.col("at.word").alias("ref_word"))
+    # Settled, so that the join below has a plain exchange on either side and hot seeds can be split.
+    shared = settle(shared.select("seed", F.col("at.doc_id").alias("ref"), F.col("at.word").alias("ref_word")), "seeds")
     matches = seeds.join(shared, "seed").filter("doc_id != ref").select("doc_id", "word", "ref", "ref_word")
     found = settle(_candidates(matches, k, w, min_words), "chains")
     wanted = found.select("doc_id").unionAll(found.select("ref")).distinct()
@@ -318,7 +319,7 @@ def repeated_passages(
         return pa.Table.from_pylist(rows, kinds)
 
     out = settle(runs.groupBy("doc_id").applyInArrow(merge, "doc_id long, spans array<struct<first:long,n:long>>, refs array<long>"), "passages")
-    forget(found, codes)
+    forget(shared, found, codes)
     return out
 
 

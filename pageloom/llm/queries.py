@@ -27,7 +27,7 @@ def op3_chat_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.format_chats(rows.unionAll(own)))
+    return chat.digests(chat.format_chats(rows.unionAll(own))).drop("n_tokens", "n_loss_tokens")
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,61 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text,''),{_ALPHABET}),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '{chat.ESCAPE}', '{chat.ESCAPE * 2}')"
+    for mark in sorted(chat.CONTROLS, key=len, reverse=True):
+        out = f"replace({out}, '{mark}', '{mark[0]}{chat.ESCAPE}{mark[1:]}')"
+    return out
+
+
+def _chat_sql() -> str:
+    said = "</s>[INST] ok [/INST]"
+    marks = " ".join(f"when '{role}' then {len(head) + len(tail)}" for role, (head, tail) in chat.MARKS.items())
+    other = sum(map(len, chat.OTHER))
+    return f"""with r as (select conv_id, turn, coalesce(role,'') role, coalesce(text,'') text from conversations union all select * from (values (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}')) v(a, b, c, d))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+sum(length({_escaped("text")}) + case role {marks} else {other} + length({_escaped("role")}) end)::bigint as formatted_chars from r group by conv_id"""
+
+
+def _decontamination_sql() -> str:
+    n = decontam.WINDOW
+    return f"""with i as (select item_id, {_WORDS} ws from benchmark), iw as (select item_id, unnest(list_transform(range(1, greatest(1, len(ws) - {n - 1}) + 1), lambda k: ws[k:k + {n - 1}])) w from i where len(ws) > 0),
+win as (select distinct item_id, len(w) n, array_to_string(w, ' ') s from iw), d as (select doc_id, {_WORDS} ws from documents), sizes as (select distinct n from win),
+dw as (select doc_id, n, unnest(range(1, len(ws) - n + 2)) k, ws from d, sizes where len(ws) >= n), ds as (select doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') s from dw),
+h as (select ds.doc_id, ds.k, ds.n, win.item_id from ds join win on ds.n = win.n and ds.s = win.s), p as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(k, k + n)) q from h) group by doc_id),
+it as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item_id::varchar item from h) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join p on d.doc_id = p.doc_id left join it on d.doc_id = it.doc_id"""
+
+
+def _imatch_sql() -> str:
+    terms = lambda c: rf"list_filter(list_distinct(string_split_regex(lower({c}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')), lambda x: x <> '')"
+    components = ", ".join(f"coalesce(left(md5(string_agg(l.term, ' ' order by l.term) filter (where substr(l.digest, {2 * n + 1}, 2) < '{imatch.KEEP}')), 8), '')" for n in range(imatch.LEXICONS))
+    empty = "." * (imatch.LEXICONS - 1)
+    like = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda p: (p[1] <> '' and p[1] = p[2])::int))::double / list_sum(list_transform(list_zip({x}, {y}), lambda p: (p[1] <> '' or p[2] <> '')::int))"
+    return f"""with d as (select doc_id, coalesce(text,'') text from documents), e as (select doc_id, text, coalesce(lead(text) over w, first(text) over (order by doc_id desc rows between unbounded preceding and unbounded following)) nxt, coalesce(lead(doc_id) over w, first(doc_id) over (order by doc_id desc rows between unbounded preceding and unbounded following)) nid from d window w as (order by doc_id desc)),
+x as (select doc_id, nid, text, left(text, length(text) - length(text) // 3) || left(nxt, length(text) // 3) edited from e), f as (select term, count(*) df from (select unnest({terms("text")}) term from d) group by term),
+l as (select term, md5(term) digest from f, (select count(*) n from d) c where df >= {imatch.LOW} * n and df <= {imatch.HIGH} * n),
+t as (select doc_id, 0 k, text s from x union all select doc_id, 1, edited from x), tt as (select doc_id, k, unnest({terms("s")}) term from t),
+g as (select t.doc_id, t.k, any_value(t.s) s, concat_ws('.', {components}) p from t left join tt on t.doc_id = tt.doc_id and t.k = tt.k left join l on tt.term = l.term group by t.doc_id, t.k),
+fp as (select doc_id, k, case when p = '{empty}' then left(md5(s), 8) || p else p end p from g)
+select x.doc_id, length(x.text)::bigint as n_chars, sha256(x.edited) as edited_sha256, a.p as fingerprint, b.p as edited_fingerprint, {like("string_split(a.p, '.')", "string_split(b.p, '.')")} as near_edited, {like("string_split(a.p, '.')", "string_split(c.p, '.')")} as near_next
+from x join fp a on a.doc_id = x.doc_id and a.k = 0 join fp b on b.doc_id = x.doc_id and b.k = 1 join fp c on c.doc_id = x.nid and c.k = 0"""
+
+
+def _jaccard_sql() -> str:
+    k = jaccard.SHINGLE
+    return f"""with recursive d as (select doc_id, coalesce(text,'') text, {_WORDS} ws from documents),
+s as (select doc_id, case when len(ws) >= {k} then list_sort(list_distinct(list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')))) when len(ws) > 0 then ['short ' || array_to_string(ws, ' ')] else [] end sh, case when len(ws) = 0 then text else '' end raw from d),
+n as (select sh, raw, min(doc_id) node, count(*) copies from s group by sh, raw), u as (select node, len(sh) size, unnest(sh) g from n where len(sh) > 0),
+p as (select a.node a, b.node b, count(*) common, any_value(a.size) x, any_value(b.size) y from u a join u b on a.g = b.g and a.node <> b.node group by a.node, b.node), e as (select a, b from p where common >= {jaccard.THRESHOLD} * (x + y - common)),
+r as (select node a, node b from n union select r.a, e.b from r join e on r.b = e.a), c as (select a, min(b) class_id from r group by a), l as (select e.a, count(*) texts, sum(m.copies) docs from e join n m on m.node = e.b group by e.a)
+select s.doc_id, c.class_id, (coalesce(l.docs, 0) + n.copies - 1)::bigint as n_links, coalesce(l.texts, 0)::bigint as n_text_links, n.copies as n_copies from s join n on n.sh = s.sh and n.raw = s.raw join c on c.a = n.node left join l on l.a = n.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_assembly": _chat_sql(), "op6_imatch": _imatch_sql(), "op8_prefix_decontamination": _decontamination_sql(), "op10_bayes_jaccard": _jaccard_sql()}
