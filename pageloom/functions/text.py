@@ -57,9 +57,9 @@ def escape_html(c) -> Column:
 
 
 def excerpt(c, n: int = 180) -> Column:
-    """At most ``n`` characters; longer texts end in three dots."""
+    """Texts of more than ``n`` characters are cut three earlier and end in an ellipsis."""
     c = clean_text(c)
-    return F.when(F.length(c) > n, F.concat(F.rtrim(F.left(c, F.lit(n - 3))), F.lit("..."))).otherwise(c)
+    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n - 3)), F.lit("…"))).otherwise(c)
 
 
 # Month names that end a byline.

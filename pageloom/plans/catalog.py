@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pageloom.functions import text as T
 from pageloom.functions import urls as U
 from pageloom.operators import dom
+from pageloom.operators import preview
 from pageloom.operators import relational as R
 from pageloom.plans import fixtures
 from pageloom.plans.review import keep_all, review_articles
 from pageloom.plans.standard import Options, extract_articles
 from pageloom.sources import epub, inputs
+from pageloom.sources import requests as requests_
 from pageloom.streaming import jobs
 
 PLAIN = Options(formulas=False, repeats=False)
@@ -219,7 +221,7 @@ def without_emojis_F13(spark, sf_dir):
 
 
 @query(
-    "select page_id, replace(replace(replace(replace(replace(url,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;') as escaped, case when length(url) > 40 then rtrim(left(url,37)) || '...' else url end as short from pages"
+    "select page_id, replace(replace(replace(replace(replace(url,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;') as escaped, case when length(url) > 40 then left(url,37) || '…' else url end as short from pages"
 )
 def escapes_F14(spark, sf_dir):
     """Escaping and excerpts."""
@@ -393,6 +395,49 @@ def reviewed_pages_D6(spark, sf_dir):
     return review_articles(_pages(spark, sf_dir), keep_all).select("page_id", "title", "author", "analysis_mode", "fallback_reason", F.size("blocks").alias("n_blocks"), F.size(F.filter("blocks", lambda b: b["excluded"])).alias("n_excluded"))
 
 
+@query(fixtures.sql("selection"))
+def preview_selection_A12(spark, sf_dir):
+    """Preview blocks of reviewed articles and what is selected of them."""
+    blocks = preview.previews(review_articles(fixtures.frame(spark, "reviewed"), fixtures.rule_labeller))
+    return preview.selection(blocks).select("page_id", "selected", "total", "images", "links", F.array_join("excluded", " | ").alias("excluded"))
+
+
+@query(f"select page_id, true as same, {_COUNT.format(h=_BODY, t='p')} as paragraphs from pages where length({_PLAIN}) >= 100")
+def rebuilt_copies_K8(spark, sf_dir):
+    """K8 O1: a copy put together from all blocks of an article has the article's text."""
+    found = extract_articles(_pages(spark, sf_dir), PLAIN).filter("error is null").select("page_id", "source_url", "html", "text")
+    again = preview.rebuilt(preview.previews(found)).select("page_id", F.col("html").alias("copy"))
+    both = found.join(again, "page_id")
+    text = T.clean_text(F.regexp_replace(F.regexp_replace("copy", "<[^>]*>", " "), "&amp;", "&"))
+    paragraphs = F.size(F.split("copy", "<p>")) - 1
+    return both.select("page_id", (text == F.col("text")).alias("same"), paragraphs.cast("long").alias("paragraphs"))
+
+
+@query(f"select page_id, false as active, (len(regexp_extract_all({_VISIBLE}, '<title>')))::bigint as titles, {_COUNT.format(h=_BODY, t='p')} as paragraphs from pages")
+def inert_markup_U9(spark, sf_dir):
+    """Pages without active markup, by patterns."""
+    rows = _pages(spark, sf_dir).select("page_id", preview.inert(F.col("html")).alias("html"))
+    return rows.select("page_id", F.col("html").rlike("(?i)<(script|style|svg|meta)").alias("active"), (F.size(F.split("html", "<title>")) - 1).cast("long").alias("titles"), (F.size(F.split("html", "<p>")) - 1).cast("long").alias("paragraphs"))
+
+
+@query(fixtures.sql("requests"))
+def requests_S6(spark, sf_dir):
+    """Validation of requests."""
+    return requests_.requests(fixtures.frame(spark, "requests")).select("id", "mode", "error")
+
+
+@query(fixtures.sql("emails"))
+def emails_P7(spark, sf_dir):
+    return fixtures.frame(spark, "emails").select("email", requests_.valid_email("email").alias("valid"))
+
+
+@query(fixtures.sql("options"))
+def reader_options_T6(spark, sf_dir):
+    """Without images and links, under another title and author."""
+    got = extract_articles(fixtures.frame(spark, "options"), Options(images=False, links=False, title="New", author=""))
+    return got.select("page_id", "title", "author", F.regexp_replace("html", "z{100}", "Z").alias("html"))
+
+
 @query(fixtures.sql("captures"))
 def captures_S3(spark, sf_dir):
     """Validation of captures."""

@@ -62,11 +62,20 @@ _REPLIES = [
 ]
 _PUTS = [("a", "v1", 0.0), ("b", "v2", 0.0), ("a", "v3", 5000.0)]
 _READS = [("a", 1, 10.0), ("a", 2, 20.0), ("b", 3, 4000.0), ("a", 4, 5001.0), ("c", 5, 1.0)]
+_REQUESTS = [
+    (1, {"sourceUrl": "u", "html": "h"}, "standard", None), (2, {"sourceUrl": "u", "html": "h", "mode": "ai"}, "ai", None), (3, {"sourceUrl": "", "html": "h"}, "standard", "A request requires non-empty sourceUrl and html."),
+    (4, {"sourceUrl": "u", "html": "h", "mode": "fast"}, "fast", "The mode is standard or ai."), (5, {"sourceUrl": "u", "html": "h", "title": "t" * 501}, "standard", "A title has 500 characters at most."),
+]
+_EMAILS = [("ada@x.org", True), ("ada@x", False), ("a b@x.org", False), ("ada@@x.org", False), ("a.b+c@mail.x.org", True), (".a@x.org", False), (None, False)]
+_OPTIONS = [(1, f"<head><meta property='og:title' content='Old'></head><article><h1>Old</h1>{FILL}<p>see <a href='/x'>this</a></p><img src='/i.png'></article>", f"<p>{Z}</p><p>see this</p>")]
 
 _FRAMES = {
     "metadata": ("page_id long, url string, html string", [(i, "http://h.com/a", f"<html>{head}<body><article>{FILL}</article></body></html>") for i, head, *_ in _META]),
     "rewrites": ("page_id long, url string, html string", [(i, "http://h.com/a", html) for i, html, *_ in _REWRITES]),
     "reviewed": ("page_id long, url string, html string", [(i, "http://h.com/a", html) for i, html, _ in _REVIEWED]),
+    "requests": ("id long, json string", [(i, json.dumps(r)) for i, r, *_ in _REQUESTS]),
+    "emails": ("email string", [(e,) for e, _ in _EMAILS]),
+    "options": ("page_id long, url string, html string", [(i, "http://h.com/a", html) for i, html, _ in _OPTIONS]),
     "captures": ("id long, json string", [(i, json.dumps(c)) for i, c, _ in _CAPTURES] + [(7, "[1]")]),
     "authors": ("given string", [(a,) for a, _ in _AUTHORS]),
     "dates": ("given string", [(a,) for a, _ in _DATES]),
@@ -84,6 +93,13 @@ _EXPECTED = {
         [(i, html and html.replace(Z, "Z"), w, None if html else "Could not find enough readable article content (it may be paywalled).") for i, _, html, w in _REWRITES],
     ),
     "reviewed": ("page_id bigint, block bigint, label varchar, excluded boolean, text varchar", [(i, *b) for i, _, bs in _REVIEWED for b in bs]),
+    "selection": (
+        "page_id bigint, selected bigint, total bigint, images bigint, links bigint, excluded varchar",
+        [(1, 3, 7, 0, 0, "Site navigation | Image or other article element | Keep reading | Another story"), (2, 2, 5, 0, 0, "We use cookies | aside | promo")],
+    ),
+    "requests": ("id bigint, mode varchar, error varchar", [(i, m, e) for i, _, m, e in _REQUESTS]),
+    "emails": ("email varchar, valid boolean", _EMAILS),
+    "options": ("page_id bigint, title varchar, author varchar, html varchar", [(i, "New", "Unknown author", html.replace(Z, "Z")) for i, _, html in _OPTIONS]),
     "fallback": ("page_id bigint, analysis_mode varchar, fallback_reason varchar, warning varchar", [(i, "standard", _BROKEN, f"AI analysis unavailable: {_BROKEN}") for i, *_ in _REVIEWED]),
     "captures": ('id bigint, title varchar, "publishedDate" varchar, error varchar', [(i, *e) for i, _, e in _CAPTURES] + [(7, None, None, _BAD)]),
     "authors": ("given varchar, name varchar", _AUTHORS),

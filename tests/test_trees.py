@@ -40,7 +40,8 @@ def test_intervals(parts):
             up = rows[r["parent"]]
             assert up["pre"] < r["pre"] <= r["last"] <= up["last"] and up["depth"] == r["depth"] - 1
     again = dom.rows(dom.parse(dom.parse("".join(parts)).html()))
-    assert len(again) == len(rows)
+    tags = lambda rs: [(r["tag"], r["depth"]) for r in rs if r["kind"] == "tag"]
+    assert tags(again) == tags(rows)
 
 
 @settings(max_examples=60, deadline=None)
@@ -124,7 +125,7 @@ def test_references_after_a_conclusion_stay_and_loose_text_after_cards_goes():
         f"<article><h1>Feature title</h1><p>{TEXT}</p><h2>References</h2><p>[1] A source of the article.</p><div class='editors-picks'><a href='/1'><h3>One</h3></a><a href='/2'><h3>Two</h3></a></div>loose<div>after</div></article>"
     )
     by = {b["text"]: b["label"] for b in row["blocks"]}
-    assert by["References"] == "body" and by["One"] == by["loose"] == by["after"] == "noise"
+    assert by["References"] == "body" and by["One"] == by["loose after"] == "noise"
 
 
 def test_vendor_like_class_is_no_consent_dialog():
