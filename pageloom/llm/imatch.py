@@ -40,11 +40,17 @@ def terms(text):
     return F.array_remove(F.array_distinct(F.split(F.lower(text), SEPARATORS)), "")
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Terms of the band over all documents: ``term, digest``."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, lexicons: int = LEXICONS, keep: str = KEEP) -> DataFrame:
+    """Terms of the band over all documents that any subset keeps: ``term, subsets`` (their numbers)."""
     total = docs.count()
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return counts.filter((F.col("df") >= low * total) & (F.col("df") <= high * total)).select("term", F.md5("term").alias("digest"))
+    # explode_outer: a plain one has the array computed a second time, for an inferred filter on its size.
+    counts = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    band = counts.filter((F.col("df") >= low * total) & (F.col("df") <= high * total))
+    # Made to depend on the count, so that the last filter is not moved below the aggregate and run for every word.
+    digest = F.array(F.when(F.col("df") > 0, F.md5("term")))
+    numbers = F.sequence(F.lit(0), F.lit(lexicons - 1))
+    kept = F.transform(digest, lambda d: F.filter(numbers, lambda n: F.substring(d, 2 * n + 1, F.lit(2)) < keep))[0]
+    return band.select("term", kept.alias("subsets")).filter(F.size("subsets") > 0)
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
@@ -82,42 +88,50 @@ def likeness(x, y):
     return same / either
 
 
-def fingerprint(found, whole, lexicons: int = LEXICONS, keep: str = KEEP):
-    """Components from an array of ``(term, digest)``; ``whole``: what stands for a text without such terms."""
-    sorted_ = F.array_sort(found)
-    part = lambda n: F.transform(F.filter(sorted_, lambda t: F.substring(t["digest"], 2 * n + 1, 2) < keep), lambda t: t["term"])
-    component = lambda n: F.when(F.size(part(n)) > 0, F.left(F.md5(F.array_join(part(n), " ")), F.lit(8))).otherwise("")
-    parts, empty = F.concat_ws(".", *[component(n) for n in range(lexicons)]), F.lit("." * (lexicons - 1))
-    return F.when(parts == empty, F.concat(whole, empty)).otherwise(parts)
+def components(found, lexicons: int = LEXICONS):
+    """The terms of each subset, sorted and joined, from a sorted array of ``(term, subsets)``."""
+    own = lambda n: F.filter(found, lambda t: F.array_contains(t["subsets"], n))
+    return F.transform(F.sequence(F.lit(0), F.lit(lexicons - 1)), lambda n: F.array_join(F.transform(own(n), lambda t: t["term"]), " "))
+
+
+def fingerprint(joined, whole, lexicons: int = LEXICONS):
+    """Components from joined terms; ``whole``: what stands for a text without any."""
+    parts = F.array_join(F.transform(joined, lambda t: F.when(t == "", "").otherwise(F.left(F.md5(t), F.lit(8)))), ".")
+    # Drops the text's own md5 unless nothing but dots follows.
+    return F.regexp_replace(F.concat(whole, F.lit("#"), parts), rf"^[0-9a-f]*#(?!\.{{{lexicons - 1}}}$)|#", "")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, one row per row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text"))
     # An entry with an empty term keeps every text in the join below.
-    words = lexicon(docs, low, high).unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit("").alias("digest")))
+    words = lexicon(docs, low, high).unionAll(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.array().cast("array<int>").alias("subsets")))
     near = _neighbours(docs).withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     texts = near.select(
         "range", "place", "ghost", "doc_id", F.char_length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(
+        F.explode_outer(
             F.array(
                 F.struct(F.lit(False).alias("is_edited"), F.left(F.md5("text"), F.lit(8)).alias("whole"), F.concat(F.array(F.lit("")), terms(F.col("text"))).alias("terms")),
                 F.struct(F.lit(True).alias("is_edited"), F.left(F.md5("edited"), F.lit(8)).alias("whole"), F.concat(F.array(F.lit("")), terms(F.col("edited"))).alias("terms")),
             )
         ).alias("t"),
     )
-    each = texts.select("range", "place", "ghost", "doc_id", "n_chars", "edited_sha256", "t.is_edited", "t.whole", F.explode("t.terms").alias("term"))
+    # Flat columns first: an exploded row must not carry the array that it comes from.
+    flat = texts.select("range", "place", "ghost", "doc_id", "n_chars", "edited_sha256", "t.is_edited", "t.whole", "t.terms")
+    each = flat.select("range", "place", "ghost", "doc_id", "n_chars", "edited_sha256", "is_edited", "whole", F.explode_outer("terms").alias("term"))
     kept = each.join(F.broadcast(words), "term")
-    entry = F.when(F.col("term") != "", F.struct("term", "digest"))
+    entry = F.when(F.col("term") != "", F.struct("term", "subsets"))
     collected = lambda flag: F.collect_list(F.when(F.col("is_edited") == flag, entry))
     whole = lambda flag: F.max(F.when(F.col("is_edited") == flag, F.col("whole")))
     rows = kept.groupBy("range", "place").agg(
         F.first("ghost").alias("ghost"), F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"),
         collected(False).alias("own"), collected(True).alias("changed"), whole(False).alias("whole"), whole(True).alias("whole_edited"),
     )
-    marked = rows.select(
-        "range", "place", "ghost", "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own"), F.col("whole")).alias("fingerprint"), fingerprint(F.col("changed"), F.col("whole_edited")).alias("edited_fingerprint")
-    )
+    # One projection for each step, so that none is evaluated more than once.
+    kept_columns = ["range", "place", "ghost", "doc_id", "n_chars", "edited_sha256", "whole", "whole_edited"]
+    ordered = rows.select(*kept_columns, F.sort_array("own").alias("own"), F.sort_array("changed").alias("changed"))
+    joined = ordered.select(*kept_columns, components(F.col("own")).alias("own"), components(F.col("changed")).alias("changed"))
+    marked = joined.select(*kept_columns[:6], fingerprint(F.col("own"), F.col("whole")).alias("fingerprint"), fingerprint(F.col("changed"), F.col("whole_edited")).alias("edited_fingerprint"))
     follows = F.lead("fingerprint").over(Window.partitionBy("range").orderBy("place"))
     return marked.withColumn("next", follows).filter("not ghost").select(
         "doc_id",
