@@ -344,8 +344,8 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     it, or to the end. ``length``, where there is such a column, is counted anew
     for texts that changed. All rows and columns stay.
     """
-    found = repeated_passages(docs, doc_id, text, **options).select(F.col("doc_id").alias("_id"), "spans")
-    joined = docs.join(found, F.col(doc_id).cast("long") == F.col("_id"), "left")
+    found = repeated_passages(docs, doc_id, text, **options).select(F.col("doc_id").alias("__of"), F.col("spans").alias("__spans"))
+    joined = docs.join(found, docs[doc_id].cast("long") == F.col("__of"), "left")
     columns = docs.columns
     at = columns.index(text)
 
@@ -353,7 +353,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
         kind = byte_class("letters")
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for n, spans in enumerate(batch.column("spans").to_pylist()):
+            for n, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:
                     raw = np.frombuffer(texts[n].encode(), np.uint8)
                     words = Words(raw, np.array([0, len(raw)]), kind)
@@ -365,7 +365,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
             out = batch.select(columns)
             yield out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
 
-    out = joined.select(*columns, "spans").mapInArrow(cut, docs.schema)
+    out = joined.select(*columns, "__spans").mapInArrow(cut, docs.schema)
     if length in columns:
         out = out.withColumn(length, F.when(F.col(text).isNotNull(), F.char_length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return out

@@ -309,7 +309,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     other document is in its class.
     """
     found = settle(near_duplicates(docs, doc_id, text, **options), "classes")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone"))
-    again = found.groupBy(F.col("doc_id").alias("_gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone"))
+    again = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
     return kept if again.isEmpty() else kept.dropDuplicates([doc_id])

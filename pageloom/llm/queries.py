@@ -126,5 +126,43 @@ r as (select node a, node b from n union select r.a, e.b from r join e on r.b =
 select s.doc_id, c.class_id, (coalesce(l.docs, 0) + n.copies - 1)::bigint as n_links, coalesce(l.texts, 0)::bigint as n_text_links, n.copies as n_copies from s join n on n.sh = s.sh and n.raw = s.raw join c on c.a = n.node left join l on l.a = n.node"""
 
 
+def _url_sql() -> str:
+    u = url_filter
+    ordered = sorted(u.RULES, key=lambda r: (-len(r[1]), r[1]))
+    fits = lambda rule: f"((host = '{rule[: rule.index('/')]}' or ends_with(host, '.{rule[: rule.index('/')]}')) and starts_with(path, '{rule[rule.index('/') :]}'))"
+    rule = "case " + " ".join(f"when {fits(r)} then '{r}'" for _, r in ordered) + " end"
+    says = "case " + " ".join(f"when {fits(r)} then '{v}'" for v, r in ordered) + " end"
+    s, t = [f"s{n}" for n in range(u.DEPTH + 1)], [f"t{n}" for n in range(u.DEPTH + 1)]
+    parts = "string_split(regexp_replace(regexp_replace(path,'^/',''),'[0-9]+','*','g'),'/')"
+    shapes = ", ".join([*(f"case when len({parts}) >= {n + 1} then {parts}[{n + 1}] end {s[n]}" for n in range(u.DEPTH)), f"case when len({parts}) > {u.DEPTH} then '**' end {s[-1]}"])
+    sql = f"""with p0 as (select page_id, case when strpos(url,'://') > 0 then substr(url, strpos(url,'://') + 3) else '' end rest from pages),
+p1 as (select page_id, translate(regexp_extract(rest,'^([^/?#]*)',1),{_ALPHABET}) host, regexp_extract(rest,'^[^/?#]*([^?#]*)',1) path from p0),
+p2 as (select *, {rule} rule, {says} says, {shapes}, try_cast(nullif(regexp_extract(path,'([0-9]+)',1),'') as bigint) k from p1),
+lab as (select doc_id, min((quality = 1 and toxic = 0)::int) good from labels group by doc_id), x0 as (select p2.*, good from p2 left join lab on k = doc_id)"""
+    for n in range(u.DEPTH):
+        above = ", ".join(["host", *t[:n], s[n]])
+        sql += f",\nx{n + 1} as (select *, case when count(*) over (partition by {above}) >= {u.SUPPORT} then {s[n]} when {s[n]} is not null then '*' end {t[n]} from x{n})"
+    levels = ["host", *t]
+    sql += f",\ntree as (select *, {s[-1]} {t[-1]} from x{u.DEPTH}), leaf as (select {', '.join(levels)}, count(good) l, coalesce(sum(good), 0) g from tree group by all), top as (select (coalesce(sum(g), 0) + 1)::double / (coalesce(sum(l), 0) + 1) q from leaf)"
+    for n in range(1, len(levels) + 1):
+        key, up = levels[:n], levels[: n - 1]
+        same = " and ".join(f"a.{c} is not distinct from b.{c}" for c in up) or "true"
+        before = "top" if n == 1 else f"q{n - 1}"
+        over = f"partition by {', '.join(up)}" if up else ""
+        sql += f""",\na{n} as (select a.*, b.q q_up from (select {", ".join(key)}, sum(l)::double l, sum(g)::double g from leaf group by all) a join {before} b on {same}),
+o{n} as (select *, l >= {u.LEAST_LABELS} and pow(g - l * q_up, 2) > {u.Z2} * greatest(l * q_up * (1 - q_up), 1e-9) own from a{n}),
+q{n} as (select *, (case when own then g else sum(g) filter (where not own) over ({over}) end + {u.PRIOR} * q_up) / (case when own then l else sum(l) filter (where not own) over ({over}) end + {u.PRIOR}) q from o{n})"""
+    same = " and ".join(f"tree.{c} is not distinct from z.{c}" for c in levels)
+    return f"""{sql}
+select page_id, tree.host, path, rule, coalesce(says, case when q < {u.THRESHOLD} then 'block' else 'allow' end) as verdict, tree.host || '/' || concat_ws('/', {", ".join("tree." + c for c in t)}) as template, l::bigint as n_labelled, round(q, 6) as purity
+from tree join q{len(levels)} z on {same}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_assembly": _chat_sql(), "op6_imatch": _imatch_sql(), "op8_prefix_decontamination": _decontamination_sql(), "op10_bayes_jaccard": _jaccard_sql()}
+    return {
+        "op1_url_templates": _url_sql(),
+        "op3_chat_assembly": _chat_sql(),
+        "op6_imatch": _imatch_sql(),
+        "op8_prefix_decontamination": _decontamination_sql(),
+        "op10_bayes_jaccard": _jaccard_sql(),
+    }
