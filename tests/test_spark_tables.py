@@ -80,3 +80,11 @@ def test_job_stream(spark, tmp_path):
     run.awaitTermination(120)
     got = {r["job_id"]: (r["status"], r["result"]) for r in spark.table("snaps").collect()}
     assert got == {"a": ("completed", "done"), "b": ("queued", None)}
+
+
+def test_retention(spark):
+    rows = [(n, float(n), n, n % 2 == 0) for n in range(60)]
+    log = spark.createDataFrame(rows, "job_id long, finished_at double, inserted long, terminal boolean")
+    got = {r["job_id"] for r in jobs.retained(log, F.lit(60.0)).collect()}
+    assert got == {n for n in range(60) if n % 2} | {58}  # thirty wait, so one that ended stays
+    assert {r["job_id"] for r in jobs.retained(log, F.lit(3630.5), capacity=100).collect()} == {n for n in range(60) if n % 2 or n > 30}
