@@ -40,7 +40,7 @@ _REVIEWED = [
     ),
 ]
 _CAPTURES = [
-    (1, {"title": "T", "author": "A", "sourceUrl": "http://h.com", "html": "<p>x", "publishedDate": "2024-02-29", "kindle": 1}, ("T", "2024-02-29", None)),
+    (1, {"title": "T", "author": "A", "sourceUrl": "http://h.com", "html": "<p>x", "publishedDate": "2024-02-29", "other": 1}, ("T", "2024-02-29", None)),
     (2, {"title": " ", "author": "A", "sourceUrl": "u", "html": "h"}, (" ", None, "A capture requires non-empty string title, author, sourceUrl, and html fields.")),
     (3, {"title": 7, "author": "A", "sourceUrl": "u", "html": "h"}, ("7", None, "A capture requires non-empty string title, author, sourceUrl, and html fields.")),
     (4, {"title": "T", "author": "A", "sourceUrl": "u", "html": "h", "publishedDate": "2023-02-29"}, ("T", "2023-02-29", "Capture publishedDate is not a valid calendar date.")),
