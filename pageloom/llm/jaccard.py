@@ -259,7 +259,8 @@ def near_duplicates(
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     wanted = placed.join(count, "node").join(values, "node")
-    pieces = docs.join(wanted.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")))
+    # Merge joins with the texts at every size: what is wanted grows with the documents.
+    pieces = docs.join(wanted.withColumnRenamed("doc_id", "_of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_of")))
     kind_of = {"node": "binary", "root": "binary", "blocks": "int", "block": "int", "copies": "long", "values": "binary"}
 
     def sets(batches):
@@ -311,5 +312,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     found = settle(near_duplicates(docs, doc_id, text, **options), "classes")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone"))
     again = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("__gone"), "left_anti")
     return kept if again.isEmpty() else kept.dropDuplicates([doc_id])

@@ -6,8 +6,7 @@ of a few counts on words (repeats of the word before, words per thousand bytes,
 distinct words). Counts are taken per thousand bytes and damped by a logarithm.
 
 *Latent space.* The labelled sample (at most ``sample`` rows, those with the
-smallest hash of the text, so the choice doesn't depend on order or id) is
-weighted by inverse document frequency, centred and reduced by a singular value
+smallest hash of the id, so the choice doesn't depend on order) is weighted by inverse document frequency, centred and reduced by a singular value
 decomposition to ``rank`` dimensions.
 
 *Votes.* The labelled vectors (at most ``sample * rank`` numbers) are sent to
