@@ -21,8 +21,9 @@ A seed's first place is never a repeat of another, so every passage survives
 once. Repeats within one document are not looked for.
 
 Edge cases: null or empty texts have no words; repeated rows of one id share
-their places and count as one document; rows with a null id take no part and
-are left as they are; extra columns are ignored or, in :func:`cut_repeats`,
+their places and count as one document (ids are expected to name one text: of
+several, one is aligned and all get its spans); rows with a null id take no part
+and are left as they are; extra columns are ignored or, in :func:`cut_repeats`,
 carried.
 """
 
@@ -32,6 +33,7 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,7 +143,9 @@ def aligned(x: np.ndarray, y: np.ndarray, d: list[int], r: list[int], k: int = K
     """Which words of ``x`` match ``y`` along a chain of matches (``d``, ``r``)."""
     hit = np.zeros(len(x), dtype=bool)
     for i, j in zip(d, r, strict=True):
-        hit[i : i + k] = x[i : i + k] == y[j : j + k]
+        n = min(k, len(x) - i, len(y) - j)  # less only where one id has several texts
+        if n > 0:
+            hit[i : i + n] = x[i : i + n] == y[j : j + n]
     for n, (i, j) in enumerate(zip(d, r, strict=True)):
         end = (d[n + 1], r[n + 1]) if n + 1 < len(d) else (len(x), len(y))
         if i + k < end[0] and j + k < end[1]:
@@ -193,7 +197,8 @@ def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
 
 
 def _candidates(matches: DataFrame, k: int, w: int, min_words: int) -> DataFrame:
-    """Chains of each document that can be part of a long passage. A document's matches are at most its seeds."""
+    """``doc_id, ref, d, r``: chains that can be part of a long passage, best first, one row for each group of
+    neighbouring matches and reference. A document's matches are at most its seeds."""
     reach = w + k
 
     def close(d, refs, r):
@@ -207,8 +212,8 @@ def _candidates(matches: DataFrame, k: int, w: int, min_words: int) -> DataFrame
                     for g in group:
                         by.setdefault(refs[g], []).append(g)
                     for ref, own in by.items():
-                        for chain in chains([d[g] for g in own], [r[g] for g in own], k):
-                            yield ref, [d[own[c]] for c in chain], [r[own[c]] for c in chain]
+                        found = chains([d[g] for g in own], [r[g] for g in own], k)
+                        yield ref, [[d[own[c]] for c in chain] for chain in found], [[r[own[c]] for c in chain] for chain in found]
                 group = []
             if i is not None:
                 group.append(i)
@@ -236,11 +241,11 @@ def _candidates(matches: DataFrame, k: int, w: int, min_words: int) -> DataFrame
                 for ref, x, y in close(d[a:b], refs[a:b], r[a:b]):
                     for name, value in zip(out, (int(ids[a]), ref, x, y), strict=True):
                         out[name].append(value)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
     dealt = matches.repartition("doc_id").sortWithinPartitions("doc_id", "word")
-    return dealt.mapInArrow(chain, "doc_id long, ref long, d array<int>, r array<int>")
+    return dealt.mapInArrow(chain, "doc_id long, ref long, d array<array<int>>, r array<array<int>>")
 
 
 def _with_end(batches):
@@ -262,7 +267,8 @@ def _codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out += [small[a:b].tobytes() for a, b in zip(words.bound[:-1], words.bound[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "codes"])
 
-    return docs.join(wanted, "doc_id").mapInArrow(code, "doc_id long, codes binary")
+    # A merge join at every size: what is wanted grows with the documents.
+    return docs.join(wanted.hint("merge"), "doc_id").mapInArrow(code, "doc_id long, codes binary")
 
 
 def repeated_passages(
@@ -285,28 +291,36 @@ def repeated_passages(
     codes = settle(_codes(docs, wanted).dropDuplicates(["doc_id"]), "codes")
 
     margin = min_words + w + k
-    low = lambda c: F.greatest(F.lit(0), F.element_at(c, 1) - margin)
-    span = lambda c: F.element_at(c, -1) + k + margin - low(c)
+    low = lambda c: F.greatest(F.lit(0), F.array_min(F.flatten(c)) - margin)
+    span = lambda c: F.array_max(F.flatten(c)) + k + margin - low(c)
     cut = lambda c: F.substring("codes", 4 * low(c) + 1, 4 * span(c))
     there = found.join(codes.withColumnRenamed("doc_id", "ref"), "ref").select("doc_id", "ref", "d", "r", cut("r").alias("y"))
     both = there.join(codes, "doc_id").select("doc_id", "ref", "d", "r", "y", cut("d").alias("x"), low("d").alias("d0"), low("r").alias("r0"))
 
     def align(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "ref", "first", "bits")}
+            first, n = [], []
             for row in batch.to_pylist():
                 x, y = (np.frombuffer(row[c], np.uint32) for c in "xy")
-                hit = aligned(x, y, [i - row["d0"] for i in row["d"]], [j - row["r0"] for j in row["r"]], k)
-                for first, n in passages_exact(hit, row["d0"], 1):
-                    for name, value in zip(out, (row["doc_id"], row["ref"], first, n), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], ["doc_id", "ref", "first", "n"])
-
-    runs = both.mapInArrow(align, "doc_id long, ref long, first long, n long")
+                hit = np.zeros(len(x), dtype=bool)
+                for d, r in zip(row["d"], row["r"], strict=True):
+                    d = [i - row["d0"] for i in d]
+                    if not all(hit[i : i + k].all() for i in d):  # else a better chain has it, as in texts of few words
+                        hit |= aligned(x, y, d, [j - row["r0"] for j in r], k)
+                runs = passages_exact(hit, row["d0"], 1)
+                first.append([a for a, _ in runs])
+                n.append([b for _, b in runs])
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ref"), pa.array(first, lists), pa.array(n, lists)], ["doc_id", "ref", "first", "n"])
+
+    runs = both.mapInArrow(align, "doc_id long, ref long, first array<long>, n array<long>")
 
     def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:  # at most the words of one document, several times over
-        first, n, refs = (t.column(c).to_numpy() for c in ("first", "n", "ref"))
-        hit = np.zeros(int((first + n).max()), dtype=bool)
+        t = t.filter(pc.greater(pc.list_value_length(t.column("n")), 0))
+        per = pc.list_value_length(t.column("n")).to_numpy()
+        first, n = (pc.list_flatten(t.column(c)).to_numpy() for c in ("first", "n"))
+        refs = np.repeat(t.column("ref").to_numpy(), per)
+        hit = np.zeros(int((first + n).max()) if len(n) else 0, dtype=bool)
         for a, b in zip(first, n, strict=True):
             hit[a : a + b] = True
         spans = passages(hit, min_words, identity)
@@ -345,7 +359,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     for texts that changed. All rows and columns stay.
     """
     found = repeated_passages(docs, doc_id, text, **options).select(F.col("doc_id").alias("__of"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, docs[doc_id].cast("long") == F.col("__of"), "left")
+    joined = docs.join(found.hint("merge"), docs[doc_id].cast("long") == F.col("__of"), "left")
     columns = docs.columns
     at = columns.index(text)
 
@@ -360,6 +374,8 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
                     keep = np.ones(len(raw), dtype=bool)
                     for s in spans:
                         end = s["first"] + s["n"]
+                        if s["first"] >= len(words.start):  # another text under the same id
+                            continue
                         keep[words.start[s["first"]] : words.start[end] if end < len(words.start) else len(raw)] = False
                     texts[n] = raw[keep].tobytes().decode()
             out = batch.select(columns)
