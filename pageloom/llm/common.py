@@ -41,7 +41,8 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if app not in _own_root:
             _own_root[app] = tempfile.mkdtemp(prefix="pageloom-")
@@ -259,13 +260,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Settled, so that the join has a plain exchange on either side and a node with very many edges can be split.
+        least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.col("b").alias("a"), "m", F.col("a").alias("own"))
         star = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("own").alias("a"), F.col("m").alias("b")))
         nxt = settle(star.filter("a != b").distinct(), "edges")
-        forget(pairs)
+        forget(pairs, least)
         pairs, old, state = nxt, state, _state(nxt)
         if state == old:
             break
