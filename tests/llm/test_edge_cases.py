@@ -85,5 +85,24 @@ def test_stages(spark, docs_of, labels, benchmark, tmp_path, n):
 
 
 def test_pipeline(spark):
+    """Each stage's decisions hold in what it keeps, and clean documents stay."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    good, near, cut, clean = (stage for _, stage in corpus_pipeline.STAGES[:4])
+    first = good(spark, docs, sf).cache()
+    held = first.join(labels, "doc_id").filter("quality = 1").count() / docs.join(labels, "doc_id").filter("quality = 1").count()
+    assert held > 0.98
+    second = near(spark, first, sf).cache()
+    assert jaccard.near_duplicates(second).filter("n_links > 0").count() == 0
+    third = cut(spark, second, sf).cache()
+    assert third.count() == second.count()
+    assert chaining.repeated_passages(third, min_words=60, identity=1.0).count() == 0
+    fourth = clean(spark, third, sf).cache()
+    assert decontam.contamination(fourth, benchmark).filter("contaminated").count() == 0
+    assert fourth.count() == third.count() - decontam.contamination(third, benchmark).filter("contaminated").count()
+
+
+def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < out.count() <= 200 and {"doc_id", "rate"} <= set(out.columns)
