@@ -62,7 +62,7 @@ def excerpt(c, n: int = 180) -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n - 3)), F.lit("…"))).otherwise(c)
 
 
-# Month names that end a byline.
+# What is cut from a byline, month names among it.
 _MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 
 
