@@ -31,7 +31,7 @@ from pageloom.llm.common import text_column
 
 LOW, HIGH = 0.01, 0.2
 LEXICONS, KEEP = 16, "03"
-RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
+RANGE_BYTES, MOST_RANGES = 4 << 20, 65_536
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
