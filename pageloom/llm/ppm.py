@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import _LOWER, Words, byte_class, crc_of, doc_slices, settle, text_bytes, text_column
 
-ORDER, LEVEL_SIZE, BUCKET_BYTES = 5, 500_000, 16 << 20
+ORDER, LEVEL_SIZE, BUCKET_BYTES = 5, 500_000, 4 << 20
 #: What each symbol of a context yields to its escape.
 DISCOUNT = 0.25
 BITS, START, END, SYMBOLS = 9, 0, 257, 257
@@ -111,15 +111,16 @@ def train(texts: DataFrame, order: int = ORDER, level_size: int = LEVEL_SIZE) ->
         if depth < order:
             level = settle(level.groupBy(F.col("run").bitwiseAND((1 << BITS * (depth + 1)) - 1).alias("run")).agg(F.sum("n").alias("n")), "runs")
         sizes = sorted(((r[0], r[1]) for r in level.groupBy(_steps("n").alias("step")).count().collect()), reverse=True)
-        least, total = None, 0
+        least, total = 0, 0
         for step, n in sizes:
-            if total + n > level_size:
+            total += n
+            if total > level_size:
+                least = step + 1
                 break
-            least, total = step, total + n
         levels.append((level, least))
     kept, floor = [], 0
     for level, least in reversed(levels):  # shallow to deep
-        floor = max(floor, 10**6 if least is None else least)
+        floor = max(floor, least)
         got = level.filter(_steps("n") >= floor).toArrow()  # level_size rows at most
         kept.append((got.column("run").to_numpy().astype(np.int64).view(_U), got.column("n").to_numpy()))
     return Trie([(k[r := np.argsort(k)], n[r]) for k, n in kept], [_contexts(level, depth, kept[depth]) for depth, (level, _) in enumerate(reversed(levels))])
