@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import _LOWER, Words, byte_class, crc_of, doc_slices, settle, text_bytes, text_column
 
-ORDER, LEVEL_SIZE, BUCKET_BYTES = 5, 500_000, 4 << 20
+ORDER, LEVEL_SIZE, BUCKET_BYTES = 5, 250_000, 4 << 20
 #: What each symbol of a context yields to its escape.
 DISCOUNT = 0.25
 BITS, START, END, SYMBOLS = 9, 0, 257, 257
