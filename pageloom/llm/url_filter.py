@@ -99,9 +99,13 @@ def _purity(tree: DataFrame, depth: int, least: int, z2: float, prior: float) ->
         same = F.lit(True)
         for c in up:
             same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
-        at = at.join(pool.select(*(F.col(c).alias(f"_p_{c}") for c in up), "pl", "pg"), same, "left").drop(*(f"_p_{c}" for c in up))
-        l, g = F.when(F.col("own"), F.col("l")).otherwise(F.col("pl")), F.when(F.col("own"), F.col("g")).otherwise(F.col("pg"))
-        at = at.withColumn("q", (g + prior * F.col("q_up")) / (l + prior))
+        if up:
+            at = at.join(pool.select(*(F.col(c).alias(f"_p_{c}") for c in up), "pl", "pg"), same, "left").drop(*(f"_p_{c}" for c in up))
+        else:
+            row = pool.first()  # of all hosts together, one row
+            at = at.withColumns({c: F.lit(float(row[c] or 0) if row else 0.0) for c in ("pl", "pg")})
+        labelled, good = F.when(F.col("own"), F.col("l")).otherwise(F.col("pl")), F.when(F.col("own"), F.col("g")).otherwise(F.col("pg"))
+        at = at.withColumn("q", (good + prior * F.col("q_up")) / (labelled + prior))
         above = at.select(*(F.col(c).alias(f"_{c}") for c in key), F.col("q").alias("q_up"))
         leaf = at
     return leaf.select(*levels, F.col("l").alias("n_labelled"), F.col("q").alias("purity"))
