@@ -263,6 +263,12 @@ def rows(root: Node) -> list[dict]:
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Input with fewer partitions than there are cores is dealt out to all; larger input stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if not rows.isStreaming and rows.rdd.getNumPartitions() < cores else rows
+
+
 def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
     """The node table of all pages of at most ``max_bytes``; the size filter runs before any Python does."""
     fits = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).filter(F.octet_length("html") <= max_bytes)
@@ -275,4 +281,4 @@ def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_by
                 table = pa.array(found, _NODE)
                 yield pa.RecordBatch.from_arrays([ids, *table.flatten()], ["page_id", *(f.name for f in _NODE)])
 
-    return fits.mapInArrow(explode, f"page_id {fits.schema['page_id'].dataType.simpleString()}, {NODE_SCHEMA}")
+    return spread(fits).mapInArrow(explode, f"page_id {fits.schema['page_id'].dataType.simpleString()}, {NODE_SCHEMA}")
