@@ -8,8 +8,11 @@ one *node* from the start, whatever their number. Then
    rows as members, never all pairs);
 2. ties are pruned by comparing MinHash values in steps and dropping a tie as
    soon as the posterior probability that its similarity reaches the threshold
-   falls below ``tolerance``;
-3. ties that survive give candidate groups. Groups are cut into blocks of at
+   falls below ``tolerance``. Ties that survive give groups. Members of one band
+   that are in different groups are then compared with each other, all pairs, in
+   blocks of at most ``band_block`` nodes, with the same pruning: a pair must not
+   be lost because the smallest node of its bands is unlike either;
+3. all ties that survive give candidate groups. Groups are cut into blocks of at
    most ``block`` nodes and each pair of blocks is one unit of work, so a large
    group is spread over many tasks; inside a unit all pairs pass the same
    Bayesian pruning and the rest is verified exactly on the shingle sets. A unit
@@ -41,7 +44,7 @@ from pageloom.llm.common import Words, byte_class, components, doc_slices, forge
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 TOLERANCE = 1e-6
-BLOCK = 256
+BLOCK, BAND_BLOCK = 256, 4096
 _U = np.uint64
 
 
@@ -163,6 +166,38 @@ class _Forest:
         self.up[max(x, y)] = min(x, y)
 
 
+def _across(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Ties ``a, b`` between nodes of different groups in each unit ``(band, i, j)``: a spanning forest of the likely ones."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        t = t.sort_by("node")
+        nodes, block = t.column("node").to_pylist(), t.column("block").to_numpy()
+        group = np.unique(np.array([r.hex() for r in t.column("root").to_pylist()]), return_inverse=True)[1]
+        values = np.frombuffer(b"".join(t.column("values").to_pylist()), np.uint8).reshape(len(nodes), -1)
+        forest = _Forest(len(nodes))
+        left, right = (np.flatnonzero(block == x) for x in (i, j))
+        for at in range(0, len(left), 64):  # so many rows of pairs at a time
+            x = left[at : at + 64]
+            wanted = group[x][:, None] != group[right][None, :]
+            if i == j:
+                wanted &= x[:, None] < right[None, :]
+            a, b = np.nonzero(wanted)
+            a, b = x[a], right[b]
+            done, same = 0, np.zeros(len(a), dtype=np.int64)
+            for n in _steps(values.shape[1]):
+                same += (values[a, done:n] == values[b, done:n]).sum(axis=1)
+                keep = same >= least_matches(n, threshold, tolerance)
+                a, b, same, done = a[keep], b[keep], same[keep], n
+            for m, o in zip(a.tolist(), b.tolist(), strict=True):
+                forest.join(m, o)
+        roots = [forest.root(m) for m in range(len(nodes))]
+        tied = [m for m, r in enumerate(roots) if m != r]
+        return pa.table({"a": pa.array([nodes[m] for m in tied], pa.binary()), "b": pa.array([nodes[roots[m]] for m in tied], pa.binary())})
+
+    return members.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the given pairs of sorted sets."""
     if len(left) <= 4 * len(sets):
@@ -235,6 +270,7 @@ def near_duplicates(
     rows: int = ROWS,
     tolerance: float = TOLERANCE,
     block: int = BLOCK,
+    band_block: int = BAND_BLOCK,
 ) -> DataFrame:
     """One row per document: ``doc_id, class_id, n_links, n_text_links, n_copies, first``.
 
@@ -254,7 +290,19 @@ def near_duplicates(
     ties = banded.join(star, "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     values = nodes.select("node", "values")
     ties = ties.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
-    groups = settle(components(_pruned(ties, threshold, tolerance)), "groups")
+    stars = settle(components(_pruned(ties, threshold, tolerance)), "stars")
+
+    # Bands whose members are not in one group by now; their members meet, block by block.
+    of = banded.join(star.select("band"), "band").join(stars, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    of = settle(of, "members")
+    # Bands with the same members are one.
+    kinds = of.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).filter("lo != hi")
+    open_ = settle(kinds.groupBy("n", "all").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / F.lit(band_block)).cast("int").alias("blocks")), "open")
+    met = of.join(open_, "band").join(values, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = _across(met.select("band", "i", "j", "block", "node", "root", "values"), threshold, tolerance)
+    groups = settle(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "groups")
+    forget(of, open_, stars)
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
