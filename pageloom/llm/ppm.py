@@ -5,14 +5,16 @@ each task merges its own counts, a grouped sum adds them up over the corpus,
 and lower orders are sums of the higher one. A symbol is a byte of the text
 with A-Z in lower case, or the end of the text; before the text stand ``order``
 start symbols. The counts form a context trie, kept level by level as sorted
-arrays. Each level holds the most frequent runs, ``level_size`` at most (ties
-of a count class go together), and a deeper level never asks for less than a
-shallower one, so the trie is closed under dropping the oldest symbol. That
-bounds what executors get, whatever the corpus.
+arrays. It is the whole trie: every run of the corpus is in it, so the model
+grows with the different runs of the training texts, and so does what the driver
+collects and executors get. A caller may bound that by ``level_size``: each level
+then holds its most frequent runs only, that many at most (ties of a count class
+go together), and a deeper level never asks for less than a shallower one, so
+the trie stays closed under dropping the oldest symbol.
 
 *Probability.* From the longest known context down, a symbol is coded with its
 count or by an escape: every symbol of the context yields it a fixed discount (as
-method D does), and the counts that the bounded level left out are its. Symbols that a longer
+method D does), and the counts that a bounded level left out are its. Symbols that a longer
 context offers are excluded below it. After order 0 the symbols not yet
 excluded are equally likely. Because a context's symbols are among those of its
 shorter contexts, the excluded counts are one number per context, summed once.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import _LOWER, Words, byte_class, crc_of, doc_slices, settle, text_bytes, text_column
 
-ORDER, LEVEL_SIZE, BUCKET_BYTES = 5, 250_000, 4 << 20
+ORDER, BUCKET_BYTES = 5, 4 << 20
 #: What each symbol of a context yields to its escape.
 DISCOUNT = 0.25
 BITS, START, END, SYMBOLS = 9, 0, 257, 257
@@ -103,13 +105,16 @@ def _steps(n):
     return F.floor(F.log2("n") * 8).cast("int")
 
 
-def train(texts: DataFrame, order: int = ORDER, level_size: int = LEVEL_SIZE) -> Trie:
-    """Learn from all texts (column ``text``)."""
+def train(texts: DataFrame, order: int = ORDER, level_size: int | None = None) -> Trie:
+    """Learn from all texts (column ``text``); ``level_size``: the most runs of a level, by default all."""
     level = settle(count_runs(texts, order), "runs")
     levels = []
     for depth in range(order, -1, -1):
         if depth < order:
             level = settle(level.groupBy(F.col("run").bitwiseAND((1 << BITS * (depth + 1)) - 1).alias("run")).agg(F.sum("n").alias("n")), "runs")
+        if level_size is None:
+            levels.append((level, 0))
+            continue
         sizes = sorted(((r[0], r[1]) for r in level.groupBy(_steps("n").alias("step")).count().collect()), reverse=True)
         least, total = 0, 0
         for step, n in sizes:
@@ -121,7 +126,7 @@ def train(texts: DataFrame, order: int = ORDER, level_size: int = LEVEL_SIZE) ->
     kept, floor = [], 0
     for level, least in reversed(levels):  # shallow to deep
         floor = max(floor, least)
-        got = level.filter(_steps("n") >= floor).toArrow()  # level_size rows at most
+        got = level.filter(_steps("n") >= floor).toArrow()  # all different runs, or level_size rows at most
         kept.append((got.column("run").to_numpy().astype(np.int64).view(_U), got.column("n").to_numpy()))
     return Trie([(k[r := np.argsort(k)], n[r]) for k, n in kept], [_contexts(level, depth, kept[depth]) for depth, (level, _) in enumerate(reversed(levels))])
 
@@ -252,7 +257,7 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn=None, order: int = ORDER, level_size: int = LEVEL_SIZE, added: float = 0.1, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn=None, order: int = ORDER, level_size: int | None = None, added: float = 0.1, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """Learn from the rows where ``learn`` (a column expression; default: all) holds and score all whole texts.
 
@@ -264,7 +269,7 @@ def score_texts(
     kind_id = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("learn"), 1))).first()
     buckets, ends = max(1, -(-(size[0] or 0) // bucket_bytes)), size[1]
-    trie = docs.sparkSession.sparkContext.broadcast(train(docs.filter("learn").select("text"), order, level_size))  # bounded by level_size
+    trie = docs.sparkSession.sparkContext.broadcast(train(docs.filter("learn").select("text"), order, level_size))  # grows with the different runs
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     counts = settle(_word_counts(docs, buckets), "words")
     got = counts.filter("fresh and n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
