@@ -196,24 +196,22 @@ def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
     return docs.mapInArrow(seeds, "seed long, doc_id long, word int")
 
 
-def _candidates(matches: DataFrame, k: int, w: int, min_words: int) -> DataFrame:
-    """``doc_id, ref, d, r``: chains that can be part of a long passage, best first, one row for each group of
+def _candidates(matches: DataFrame, k: int) -> DataFrame:
+    """``doc_id, ref, d, r``: all chains, best first, one row for each group of
     neighbouring matches and reference. A document's matches are at most its seeds."""
-    reach = w + k
 
     def close(d, refs, r):
-        # Matches of any reference, near each other in this document; thin groups can't be a long passage.
+        # Matches of any reference, near each other in this document. One is enough: length and identity are judged after alignment.
         order = sorted(range(len(d)), key=lambda i: d[i])
         group: list[int] = []
         for i in [*order, None]:
             if group and (i is None or d[i] - d[group[-1]] > MAX_GAP + k):
-                if d[group[-1]] - d[group[0]] + k + 2 * (reach - k) >= min_words:
-                    by: dict[int, list[int]] = {}
-                    for g in group:
-                        by.setdefault(refs[g], []).append(g)
-                    for ref, own in by.items():
-                        found = chains([d[g] for g in own], [r[g] for g in own], k)
-                        yield ref, [[d[own[c]] for c in chain] for chain in found], [[r[own[c]] for c in chain] for chain in found]
+                by: dict[int, list[int]] = {}
+                for g in group:
+                    by.setdefault(refs[g], []).append(g)
+                for ref, own in by.items():
+                    found = chains([d[g] for g in own], [r[g] for g in own], k)
+                    yield ref, [[d[own[c]] for c in chain] for chain in found], [[r[own[c]] for c in chain] for chain in found]
                 group = []
             if i is not None:
                 group.append(i)
@@ -286,7 +284,7 @@ def repeated_passages(
     # Settled, so that the join below has a plain exchange on either side and hot seeds can be split.
     shared = settle(shared.select("seed", F.col("at.doc_id").alias("ref"), F.col("at.word").alias("ref_word")), "seeds")
     matches = seeds.join(shared, "seed").filter("doc_id != ref").select("doc_id", "word", "ref", "ref_word")
-    found = settle(_candidates(matches, k, w, min_words), "chains")
+    found = settle(_candidates(matches, k), "chains")
     wanted = found.select("doc_id").unionAll(found.select("ref")).distinct()
     codes = settle(_codes(docs, wanted).dropDuplicates(["doc_id"]), "codes")
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from pageloom.llm import common, jaccard, ppm
+from pageloom.llm import chaining, common, jaccard, ppm
 
 
 def _shingles(words, k=5):
@@ -44,3 +44,30 @@ def test_trie_keeps_every_run_of_the_corpus(docs_of):
         assert len(trie.runs[depth]) == len(want)
         assert (trie.runs[depth] == want).all() and (trie.counts[depth] == n).all()
         assert not trie.left[depth].any()
+
+
+# ------------------------------------------------------------------ op5
+
+
+def test_fuzzy_passages_of_one_seed_are_aligned(docs_of):
+    """60 words of which every tenth is replaced (identity 0.9): found wherever a seed is shared."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, shared = [], []
+    seeds = lambda t: {tuple(t[i : i + chaining.K]) for i in _places(t)}
+    for n in range(60):
+        passage = fresh(60)
+        changed = [w if i % 10 != 5 else fresh(1)[0] for i, w in enumerate(passage)]
+        x, y = fresh(40) + passage + fresh(40), fresh(40) + changed + fresh(40)
+        rows += [(2 * n, " ".join(x)), (2 * n + 1, " ".join(y))]
+        if seeds(x) & seeds(y):
+            shared.append(2 * n + 1)
+    found = {row.doc_id: row.n_repeated for row in chaining.repeats_by_document(docs_of(rows)).collect()}
+    assert len(shared) > 50
+    assert [i for i in shared if not 50 <= found[i] <= 60] == []
+
+
+def _places(words):
+    buf, off = common.text_bytes(pa.array([" ".join(words)]))
+    got = common.Words(buf, off, common.byte_class("letters"))
+    return chaining.minimizers(got.hash, got.bound, chaining.K, chaining.W)
