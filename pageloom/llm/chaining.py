@@ -30,6 +30,7 @@ carried.
 from __future__ import annotations
 
 import bisect
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -170,11 +171,32 @@ def passages(hit: np.ndarray, min_words: int, identity: float, slack: int = 8) -
             first, n, found = int(at[a]), int(at[b] - at[a] + 1), int(b - a + 1)
             if n >= min_words and found >= identity * n:
                 out.append((first, n))
-            elif found >= min_words:  # dense parts of a run that has thin ones
-                out += passages_exact(hit[first : first + n], first, min_words)
+            elif n >= min_words:  # dense parts of a run that has thin ones
+                out += _dense(at[a : b + 1], min_words, identity)
     return out
 
 
+def _dense(at: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int]]:
+    """Of a run with matches at the words ``at``: the longest stretch with enough matches, and so on to its left and right."""
+    share, out, waiting = Fraction(str(identity)), [], [(0, len(at))]
+    gain, loss = share.denominator - share.numerator, share.numerator  # a stretch has enough matches if its sum isn't negative
+    rank = np.arange(len(at))
+    before = rank * gain - (at - at[0] - rank) * loss
+    while waiting:
+        a, b = waiting.pop()
+        if b <= a or at[b - 1] - at[a] + 1 < min_words:
+            continue
+        least = np.minimum.accumulate(before[a:b])
+        start = a + np.searchsorted(-least, -(before[a:b] + gain), "left")  # the first match from which the sum up to each isn't negative
+        n = at[a:b] - at[start] + 1
+        j = int(n.argmax())
+        i = int(start[j])
+        if n[j] >= min_words:
+            out.append((int(at[i]), int(n[j])))
+            waiting += [(a, i), (a + j + 1, b)]
+    return sorted(out)
+
+
 def passages_exact(hit: np.ndarray, shift: int, min_words: int) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
     return [(int(a) + shift, int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= min_words]

@@ -67,6 +67,22 @@ def test_fuzzy_passages_of_one_seed_are_aligned(docs_of):
     assert [i for i in shared if not 50 <= found[i] <= 60] == []
 
 
+def test_a_fuzzy_passage_is_found_beside_thin_matches():
+    """60 words at identity 0.9, then two common phrases of five words, 8 words apart."""
+    fuzzy = [i % 10 != 5 for i in range(60)]
+    hit = np.array([*[False] * 7, *fuzzy, *([False] * 8 + [True] * 5) * 2, *[False] * 9])
+    ((first, n),) = chaining.passages(hit, 50, 0.8)
+    assert first <= 7 and first + n >= 67 and hit[first : first + n].mean() >= 0.8
+    rng = random.Random(1)
+    for _ in range(300):  # the longest stretch is found, and none that is too thin
+        hit = np.array([rng.random() < p for p in rng.choices([0.3, 0.75, 0.95], k=6) for _ in range(12)])
+        total = np.append(0, np.cumsum(hit))
+        at, got = np.flatnonzero(hit), chaining.passages(hit, 10, 0.8, slack=100)
+        want = max((b - a + 1 for a in at for b in at if b - a + 1 >= 10 and 5 * (total[b + 1] - total[a]) >= 4 * (b - a + 1)), default=0)
+        assert max((n for _, n in got), default=0) == want
+        assert all(5 * (total[a + n] - total[a]) >= 4 * n for a, n in got)
+
+
 def _places(words):
     buf, off = common.text_bytes(pa.array([" ".join(words)]))
     got = common.Words(buf, off, common.byte_class("letters"))
