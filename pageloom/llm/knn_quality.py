@@ -3,7 +3,8 @@
 *Features.* A document is a bag of hashed byte pairs, of runs of four byte
 classes (how letters, capitals, digits, marks and space follow each other) and
 of a few counts on words (repeats of the word before, words per thousand bytes,
-distinct words). Counts are taken per thousand bytes and damped by a logarithm.
+distinct words, counted anew every 512 words so that the share does not depend
+on the length, over the whole text). Counts are taken per thousand bytes and damped by a logarithm.
 
 *Latent space.* The labelled sample (at most ``sample`` rows, those with the
 smallest hash of the id, so the choice doesn't depend on order) is weighted by inverse document frequency, centred and reduced by a singular value
@@ -58,6 +59,11 @@ def _classes() -> np.ndarray:
 _PAIR, _SHAPE, _CLASS = _hash16(1 << 16, PAIRS), _hash16(1 << 16, SHAPES) + PAIRS, _classes()
 
 
+def _distinct(h: np.ndarray, block: int = 512) -> int:
+    """Distinct words of each block of the whole text, added up."""
+    return sum(len(np.unique(h[at : at + block])) for at in range(0, len(h), block))
+
+
 def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One damped row of features for each document."""
     n = len(off) - 1
@@ -80,7 +86,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         h = words.hash[words.bound[d] : words.bound[d + 1]]
         if len(h):
             size = edges[d + 1] - edges[d]
-            out[d, SIZE - COUNTS :] = size * np.array([np.mean(h[1:] == h[:-1]) if len(h) > 1 else 0, len(h) / size, len(np.unique(h[:512])) / min(len(h), 512), 1 / (1 + len(h))]) / 10
+            out[d, SIZE - COUNTS :] = size * np.array([np.mean(h[1:] == h[:-1]) if len(h) > 1 else 0, len(h) / size, _distinct(h) / len(h), 1 / (1 + len(h))]) / 10
     out /= np.maximum(1, np.diff(edges))[:, None] / 1000
     np.log1p(out, out=out)
     out[:, SIZE - COUNTS :] *= COUNT_WEIGHT

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from pageloom.llm import chaining, common, jaccard, ppm
+from pageloom.llm import chaining, common, jaccard, knn_quality, ppm
 
 
 def _shingles(words, k=5):
@@ -87,3 +87,14 @@ def _places(words):
     buf, off = common.text_bytes(pa.array([" ".join(words)]))
     got = common.Words(buf, off, common.byte_class("letters"))
     return chaining.minimizers(got.hash, got.bound, chaining.K, chaining.W)
+
+
+# ------------------------------------------------------------------ op7
+
+
+def test_distinct_words_of_the_whole_text():
+    start = " ".join(f"{n:04d}" for n in range(512))
+    varied, junk = " ".join(f"{n:04d}" for n in range(512, 2048)), " ".join(["0001", "0002"] * 768)
+    buf, off = common.text_bytes(pa.array([f"{start} {varied}", f"{start} {junk}", start]))
+    share = np.expm1(knn_quality.features(buf, off)[:, -2] / knn_quality.COUNT_WEIGHT[2]) / 100
+    assert np.allclose(share, [1, (512 + 3 * 2) / 2048, 1], atol=1e-3)
