@@ -2,8 +2,8 @@
 
 *Templates.* A url's path is cut into segments; digits become ``*`` at once.
 Level by level, within the host and the template above, a segment that occurs
-fewer than ``support`` times becomes ``*`` too; deeper segments than ``depth``
-are one ``**``. Only the table of different shapes (host, segments) is grouped
+fewer than ``support`` times becomes ``*`` too; segments so deep that fewer than
+``support`` paths reach them are one ``**`` (the first ``depth`` stay apart). Only the table of different shapes (host, segments) is grouped
 and joined for this, and urls meet it once more at the end, by their shape.
 
 *Merging.* From the leaves up, a branch whose share of good labels does not
@@ -61,6 +61,18 @@ def _shape(path, depth):
     return [F.when(F.size(parts) >= n + 1, F.try_element_at(parts, F.lit(n + 1))) for n in range(depth)] + [F.when(F.size(parts) > depth, "**")]
 
 
+def _deepest(pages: DataFrame, url: str, depth: int, support: int) -> int:
+    """Levels that ``support`` paths reach, ``depth`` at least; no deeper segment can have support."""
+    cut = F.split(F.regexp_replace(host_and_path(url)[1], r"^/", ""), "/")
+    sizes = sorted((tuple(x) for x in pages.groupBy(F.size(cut).alias("size")).count().collect()), reverse=True)  # a row per length of a path
+    reached = 0
+    for size, n in sizes:
+        reached += n
+        if reached >= support:
+            return max(depth, size)
+    return depth
+
+
 def templates(shapes: DataFrame, depth: int = DEPTH, support: int = SUPPORT) -> DataFrame:
     """Templates for a table of shapes ``(host, s0.., n, labelled, good)``: adds ``t0..``."""
     out = shapes
@@ -119,6 +131,7 @@ def judge_urls(
     ``labels``: ``(url_key, good)`` with at most one row for a key; ``good`` is
     1, 0 or null, the key is the number in a page's path.
     """
+    depth = _deepest(pages, url, depth, support)
     host, path = host_and_path(url)
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     s = [f"s{n}" for n in range(depth + 1)]

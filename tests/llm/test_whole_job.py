@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from pageloom.llm import chaining, common, jaccard, knn_quality, ppm
+from pageloom.llm import chaining, common, jaccard, knn_quality, ppm, url_filter
 
 
 def _shingles(words, k=5):
@@ -98,3 +98,13 @@ def test_distinct_words_of_the_whole_text():
     buf, off = common.text_bytes(pa.array([f"{start} {varied}", f"{start} {junk}", start]))
     share = np.expm1(knn_quality.features(buf, off)[:, -2] / knn_quality.COUNT_WEIGHT[2]) / 100
     assert np.allclose(share, [1, (512 + 3 * 2) / 2048, 1], atol=1e-3)
+
+
+# ------------------------------------------------------------------ op1
+
+
+def test_branches_below_the_third_segment_are_told_apart(spark):
+    rows = [(n, f"http://a.net/x/y/z/{'good' if n < 60 else 'bad'}/{n}") for n in range(120)]
+    labels = spark.createDataFrame([(n, int(n < 60)) for n in range(120)], "url_key long, good int")
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=[]).collect()
+    assert {(r.page_id < 60, r.verdict, r.template) for r in got} == {(True, "allow", "a.net/x/y/z/good/*"), (False, "block", "a.net/x/y/z/bad/*")}
