@@ -1,50 +1,59 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-*Model.* All runs of ``order + 1`` symbols of the training texts are counted:
-each task merges its own counts, a grouped sum adds them up over the corpus,
-and lower orders are sums of the higher one. A symbol is a byte of the text
-with A-Z in lower case, or the end of the text; before the text stand ``order``
-start symbols. The counts form a context trie, kept level by level as sorted
-arrays. It is the whole trie: every run of the corpus is in it, so the model
-grows with the different runs of the training texts, and so does what the driver
-collects and executors get. A caller may bound that by ``level_size``: each level
-then holds its most frequent runs only, that many at most (ties of a count class
-go together), and a deeper level never asks for less than a shallower one, so
-the trie stays closed under dropping the oldest symbol.
+*Model.* All runs of ``order + 1`` symbols of the training texts, with their
+counts, form a context trie; lower orders are sums of higher ones. A symbol is a
+byte of the text with A-Z in lower case, or the end of the text; before the text
+stand ``order`` start symbols. Every run of the training texts is in it.
 
 *Probability.* From the longest known context down, a symbol is coded with its
-count or by an escape: every symbol of the context yields it a fixed discount (as
-method D does), and the counts that a bounded level left out are its. Symbols that a longer
-context offers are excluded below it. After order 0 the symbols not yet
-excluded are equally likely. Because a context's symbols are among those of its
-shorter contexts, the excluded counts are one number per context, summed once.
-
-*Base.* A word model with added counts, over the whole vocabulary. The texts are
-dealt into buckets of bounded size; each bucket asks for every different word
-once, so a word that all documents have costs one row per bucket, and no
-vocabulary is sent to everyone.
+count or by an escape. Every symbol of a context yields the escape a discount. It
+is estimated for each order on an eighth of the training texts: how often what
+the others have for a context fails there, against how many symbols they have.
+Symbols that a longer context offers are excluded below it. After order 0 the
+symbols not yet excluded are equally likely. Because a context's symbols are
+among those of its shorter contexts, the excluded counts are one number per
+context, summed once.
+
+*Where it is kept.* The trie is a table and nobody holds it whole. The texts are
+dealt into buckets; each bucket asks once for every different run (and word)
+that it has. Runs are dealt by the three symbols before the last one, which
+holds together all deeper contexts, and get their log-probability there, streamed
+by that context (one has 257^3 runs at most). Sent to executors are only counts of one and two
+symbols and sums of contexts of two (258^2 numbers each, whatever the corpus).
+The log-probabilities then go back to the buckets that asked.
+
+*Base.* A word model with added counts, over the whole vocabulary, on the same way.
 
 Edge cases: a null text is empty and is coded as its end alone; repeated rows
-score alike; with no training text the model is uniform and the base has only
-its added counts; extra columns are ignored.
+score alike; ties cannot arise, every number is a sum; a very long text is a
+bucket of its own and its runs are counted in slices; with no training text the
+model is uniform and the base has only its added counts; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import _LOWER, Words, byte_class, crc_of, doc_slices, settle, text_bytes, text_column
+from pageloom.llm.common import _LOWER, Words, byte_class, crc_of, doc_slices, forget, settle, text_bytes, text_column
 
-ORDER, BUCKET_BYTES = 5, 4 << 20
-#: What each symbol of a context yields to its escape.
-DISCOUNT = 0.25
+ORDER, NEAR = 5, 3
+#: A bucket's text: as large as memory for its different runs allows, smaller where there would be fewer buckets than partitions.
+BUCKET_BYTES, LEAST_BUCKET_BYTES = 32 << 20, 4 << 20
 BITS, START, END, SYMBOLS = 9, 0, 257, 257
+CODES = SYMBOLS + 1
+WORD, RUN = 0, 1
 _U = np.uint64
-_MASK = _U((1 << BITS) - 1)
+
+
+def _mask(symbols: int) -> int:
+    return (1 << BITS * symbols) - 1
 
 
 def runs(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,149 +74,191 @@ def runs(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.n
     return packed[keep], np.append(0, np.cumsum(n + 1))
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    rank = np.argsort(k, kind="stable")
-    k, c = k[rank], c[rank]
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys with the sums of their counts."""
+    rank = np.argsort(keys, kind="stable")
+    k = keys[rank]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(first) else c
+    return k[first], *(np.add.reduceat(c[rank], first) if len(first) else c for c in counts)
 
 
-def count_runs(texts: DataFrame, order: int) -> DataFrame:
-    """``run, n`` over all texts (column ``text``)."""
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
 
-    def count(batches):
-        keys, counts, waiting = [], [], 0
-        for batch in batches:
-            buf, off = text_bytes(batch.column("text"))
-            for lo, hi in doc_slices(off):
-                k, c = np.unique(runs(buf, off[lo : hi + 1], order)[0], return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                waiting += len(k)
-                if len(keys) > 1 and waiting > max(2 * len(keys[0]), 1 << 20):
-                    k, c = _merge(keys, counts)
-                    keys, counts, waiting = [k], [c], len(k)
-                if waiting > 8 << 20:  # bounded memory: hand over and start anew
-                    k, c = _merge(keys, counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["run", "n"])
-                    keys, counts, waiting = [], [], 0
-        if keys:
-            k, c = _merge(keys, counts)
-            for at in range(0, len(k), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 17)].view(np.int64)), pa.array(c[at : at + (1 << 17)])], ["run", "n"])
-
-    return texts.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-
-
-def _steps(n):
-    """A count's class: eighth powers of two, at most some five hundred classes."""
-    return F.floor(F.log2("n") * 8).cast("int")
-
-
-def train(texts: DataFrame, order: int = ORDER, level_size: int | None = None) -> Trie:
-    """Learn from all texts (column ``text``); ``level_size``: the most runs of a level, by default all."""
-    level = settle(count_runs(texts, order), "runs")
-    levels = []
-    for depth in range(order, -1, -1):
-        if depth < order:
-            level = settle(level.groupBy(F.col("run").bitwiseAND((1 << BITS * (depth + 1)) - 1).alias("run")).agg(F.sum("n").alias("n")), "runs")
-        if level_size is None:
-            levels.append((level, 0))
+
+# ---------------------------------------------------------------- the model
+
+
+def discount(escapes: float, expected: float) -> float:
+    """What each symbol of a context yields to the escape: the escapes that were seen, against those at a discount of 1."""
+    return min(0.95, max(0.01, escapes / expected)) if expected else 0.5
+
+
+def escapes(run: np.ndarray, n: np.ndarray, aside: np.ndarray) -> tuple[float, float]:
+    """Of the texts set aside (counts ``aside``, part of ``n``): escapes from contexts that the others have, and those expected at a discount of 1."""
+    context, first = np.unique(run >> _U(BITS), return_index=True)
+    if not len(context):
+        return 0.0, 0.0
+    others, missing = n - aside, np.where(n == aside, aside, 0)
+    whole, symbols, seen, failed = (np.add.reduceat(x, first) for x in (others, others > 0, aside, missing))
+    known = whole > 0
+    return float(failed[known].sum()), float((seen[known] * symbols[known] / whole[known]).sum())
+
+
+@dataclass
+class Low:
+    """What every task gets of the model: counts of one and two symbols, sums of contexts of two, discounts."""
+
+    one: np.ndarray  # [CODES]
+    two: np.ndarray  # [CODES, CODES]: context, symbol
+    context: np.ndarray  # [3, CODES * CODES]: occurrences, symbols and shadow of contexts of two symbols
+    discounts: list[float]
+
+
+def log_probabilities(run: np.ndarray, n: np.ndarray, head: np.ndarray, below: np.ndarray, low: Low, order: int) -> np.ndarray:
+    """log10 of the probability of the last symbol of each run after the others.
+
+    The runs are all those of some contexts of ``NEAR`` symbols, with their
+    counts in training texts (0: none); ``head`` are their last ``NEAR + 1``
+    symbols (sorted), ``below`` the training counts of the last ``NEAR`` of these.
+    """
+    levels = {order: summed(run[n > 0], n[n > 0].astype(np.float64))}
+    for d in range(order - 1, NEAR - 1, -1):
+        k, c = levels[d + 1]
+        levels[d] = summed(k & _U(_mask(d + 1)), c)
+    out, excluded, shadow = (np.zeros(len(run)) for _ in range(3))
+    open_ = np.arange(len(run))
+
+    def step(d, whole, symbols, gone, count):
+        """One order: coded symbols leave ``open_``, the others escape."""
+        nonlocal open_
+        known = whole > 0
+        mine, count = open_[known], count[known]
+        rest, fresh = whole[known] - shadow[mine], symbols[known] - excluded[mine]
+        coded = count > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(coded, count - low.discounts[d], low.discounts[d] * fresh) / rest
+        out[mine] += np.log10(np.where(rest > 0, share, 1.0))
+        excluded[mine], shadow[mine] = symbols[known], gone[known]
+        still = np.ones(len(open_), dtype=bool)
+        still[np.flatnonzero(known)[coded]] = False
+        open_ = open_[still]
+
+    for d in range(order, NEAR - 1, -1):
+        k, c = levels[d]
+        context, first = np.unique(k >> _U(BITS), return_index=True)
+        symbols = np.diff(np.append(first, len(k))).astype(np.float64)
+        keys, counts = levels.get(d - 1, (head, below))
+        at, there = _found(keys, k & _U(_mask(d if d > NEAR else NEAR + 1)))
+        gone = np.add.reduceat(np.where(there, counts[at], 0.0), first) if len(first) else symbols
+        mine = run[open_] & _U(_mask(d + 1))
+        at, known = _found(context, mine >> _U(BITS))
+        slot, coded = _found(k, mine)
+        pick = lambda x, at=at, known=known: np.where(known, x[at], 0.0) if len(x) else np.zeros(len(at))
+        whole = np.add.reduceat(c, first) if len(first) else symbols
+        step(d, pick(whole), pick(symbols), pick(gone), np.where(coded, c[slot], 0.0) if len(c) else np.zeros(len(mine)))
+    part = lambda i: ((run[open_] >> _U(BITS * i)) & _U(_mask(1))).astype(np.int64)
+    two = part(2) * CODES + part(1)
+    step(2, *(x[two] for x in low.context), below[np.searchsorted(head, run[open_] & _U(_mask(NEAR + 1)))])
+    one, offered = part(1), low.two > 0
+    step(1, low.two.sum(axis=1)[one], offered.sum(axis=1)[one].astype(np.float64), (offered @ low.one)[one], low.two[one, part(0)])
+    nothing = np.zeros(len(open_))
+    step(0, nothing + low.one.sum(), nothing + (low.one > 0).sum(), nothing, low.one[part(0)])
+    out[open_] -= np.log10(np.maximum(1.0, SYMBOLS - excluded[open_]))
+    return out
+
+
+def _contexts(batches, rows: int = 1 << 18):
+    """Tables of about so many rows that are sorted by ``near``, cut between contexts."""
+    waiting: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in waiting) < rows:
             continue
-        sizes = sorted(((r[0], r[1]) for r in level.groupBy(_steps("n").alias("step")).count().collect()), reverse=True)
-        least, total = 0, 0
-        for step, n in sizes:
-            total += n
-            if total > level_size:
-                least = step + 1
-                break
-        levels.append((level, least))
-    kept, floor = [], 0
-    for level, least in reversed(levels):  # shallow to deep
-        floor = max(floor, least)
-        got = level.filter(_steps("n") >= floor).toArrow()  # all different runs, or level_size rows at most
-        kept.append((got.column("run").to_numpy().astype(np.int64).view(_U), got.column("n").to_numpy()))
-    return Trie([(k[r := np.argsort(k)], n[r]) for k, n in kept], [_contexts(level, depth, kept[depth]) for depth, (level, _) in enumerate(reversed(levels))])
-
-
-def _contexts(level: DataFrame, depth: int, kept: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All occurrences of the contexts that have a kept symbol."""
-    known = np.unique(kept[0] >> _U(BITS))
-    some = level.groupBy(F.shiftrightunsigned("run", BITS).alias("run")).agg(F.sum("n").alias("n"))
-    if not len(known):
-        return known, np.zeros(0, np.int64)
-    least = int(kept[1].min())
-    got = some.filter(F.col("n") >= least).toArrow()  # as many as kept runs, or as counts of that size can be
-    k, n = got.column("run").to_numpy().astype(np.int64).view(_U), got.column("n").to_numpy()
-    rank = np.argsort(k)
-    return known, n[rank][np.searchsorted(k[rank], known)]
-
-
-class Trie:
-    """``levels[d]``: sorted runs of ``d + 1`` symbols with counts; ``contexts[d]``: occurrences of their contexts."""
-
-    def __init__(self, levels, contexts):
-        self.order = len(levels) - 1
-        self.runs = [k for k, _ in levels]
-        self.counts = [n.astype(np.float64) for _, n in levels]
-        self.context = [k for k, _ in contexts]
-        self.kept, self.symbols, self.left, self.shadow = [], [], [], []
-        for d in range(self.order + 1):
-            at = np.searchsorted(self.context[d], self.runs[d] >> _U(BITS))
-            n = len(self.context[d])
-            self.kept.append(np.bincount(at, self.counts[d], n))
-            self.symbols.append(np.bincount(at, minlength=n).astype(np.float64))
-            self.left.append(np.maximum(0.0, contexts[d][1] - self.kept[d]))
-            if d:  # what this context's symbols count in the next shorter context
-                low = self.runs[d] & _U((1 << BITS * d) - 1)
-                self.shadow.append(np.bincount(at, self.counts[d - 1][np.searchsorted(self.runs[d - 1], low)], n))
-            else:
-                self.shadow.append(np.zeros(n))
-
-    def log10(self, packed: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last symbol of each run after the others."""
-        out = np.zeros(len(packed))
-        open_ = np.arange(len(packed))  # runs whose symbol is not coded yet
-        excluded = np.zeros(len(packed))
-        shadow = np.zeros(len(packed))
-        for d in range(self.order, -1, -1):
-            if not len(self.context[d]) or not len(open_):
-                continue
-            run = packed[open_] & _U((1 << BITS * (d + 1)) - 1)
-            at = np.searchsorted(self.context[d], run >> _U(BITS))
-            at[at == len(self.context[d])] = 0
-            known = self.context[d][at] == run >> _U(BITS)
-            mine, at, run = open_[known], at[known], run[known]
-            rest = self.kept[d][at] - shadow[mine]
-            fresh = self.symbols[d][at] - excluded[mine]
-            escape = DISCOUNT * fresh + self.left[d][at]
-            slot = np.searchsorted(self.runs[d], run)
-            slot[slot == len(self.runs[d])] = 0
-            coded = self.runs[d][slot] == run
-            whole = rest + self.left[d][at]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                step = np.where(coded, self.counts[d][slot] - DISCOUNT, escape) / whole
-            out[mine] += np.log10(np.where(whole > 0, step, 1.0))
-            excluded[mine] = self.symbols[d][at]
-            shadow[mine] = self.shadow[d][at]
-            done = np.zeros(len(packed), dtype=bool)
-            done[mine[coded]] = True
-            open_ = open_[~done[open_]]
-        out[open_] -= np.log10(np.maximum(1.0, SYMBOLS - excluded[open_]))
-        return out
-
-    def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each text with its end."""
-        packed, begin = runs(buf, off, self.order)
-        code, different = pd.factorize(packed)
-        return np.add.reduceat(self.log10(different)[code], begin[:-1]) if len(off) > 1 else np.zeros(0)
-
-
-# ---------------------------------------------------------------- words
-
-
-def _runs_of(batch: pa.RecordBatch, *columns: str):
+        t = pa.concat_tables(waiting)
+        near = t.column("near").to_numpy()
+        whole = int(np.searchsorted(near, near[-1], "left"))  # the last context may go on in the next batch
+        waiting = [t.slice(whole)]
+        if whole:
+            yield t.slice(0, whole)
+    if waiting:
+        yield pa.concat_tables(waiting)
+
+
+def _last(symbols: int):
+    return F.col("run").bitwiseAND(_mask(symbols)).alias("run")
+
+
+def run_scores(totals: DataFrame, order: int = ORDER) -> DataFrame:
+    """``run, score`` for a table of all different runs ``run, n, aside`` (``n``: their count in training texts, 0 for none)."""
+    spark = totals.sparkSession
+    sums = [F.sum("n").alias("n"), F.sum("aside").alias("aside")]
+    near = settle(totals.groupBy(_last(NEAR + 1)).agg(*sums), "runs")
+    three = settle(near.groupBy(_last(NEAR)).agg(*sums), "runs")
+    pairs = three.filter("n > 0").groupBy(_last(2)).agg(*sums)
+    two, aside = np.zeros((CODES, CODES)), np.zeros((CODES, CODES))
+    for run, n, m in pairs.collect():  # CODES ** 2 rows at most
+        two[run >> BITS, run & _mask(1)], aside[run >> BITS, run & _mask(1)] = n, m
+    one = two.sum(axis=0)
+    singles = np.arange(CODES, dtype=_U)
+    doubles = (singles[:, None] << _U(BITS) | singles).ravel()
+    seen = [escapes(singles[one > 0], one[one > 0], aside.sum(axis=0)[one > 0]), escapes(doubles[two.ravel() > 0], two[two > 0], aside[two > 0])]
+    above = three.filter("n > 0").join(F.broadcast(pairs.select(F.col("run").alias("pair"), F.col("n").alias("m"))), F.col("run").bitwiseAND(_mask(2)) == F.col("pair"))  # as many
+    others = F.col("n") - F.col("aside")
+    above = above.groupBy(F.shiftright("run", BITS).alias("at")).agg(
+        F.sum("n"), F.count(F.lit(1)), F.sum("m"), F.sum(others).alias("whole"), F.count(F.when(others > 0, 1)).alias("symbols"), F.sum("aside"), F.sum(F.when(others == 0, F.col("aside")).otherwise(0))
+    )
+    context, failed, expected = np.zeros((3, CODES * CODES)), 0.0, 0.0
+    for at, n, symbols, gone, whole, kinds, tried, missing in above.collect():  # CODES ** 2 rows at most
+        context[:, (at >> BITS) * CODES + (at & _mask(1))] = n, symbols, gone
+        if whole:
+            failed, expected = failed + missing, expected + tried * kinds / whole
+    seen.append((failed, expected))
+
+    def tried(batches):
+        for t in _contexts(batches):
+            k, n, m = t.column("run").to_numpy().astype(np.int64).view(_U), t.column("n").to_numpy(), t.column("aside").to_numpy()
+            for d in range(order, NEAR - 1, -1):
+                k, n, m = summed(k & _U(_mask(d + 1)), n, m)
+                got = escapes(k[n > 0], n[n > 0], m[n > 0])
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x]) for x in got)], ["d", "failed", "expected"])
+
+    by_near = F.shiftright("run", BITS).bitwiseAND(_mask(NEAR)).alias("near")
+    deep = totals.select(by_near, "run", "n", "aside").repartition("near").sortWithinPartitions("near").mapInArrow(tried, "d int, failed double, expected double")
+    seen += [tuple(r)[1:] for r in deep.groupBy("d").agg(F.sum("failed"), F.sum("expected")).orderBy("d").collect()]  # a row for each order
+    low = spark.sparkContext.broadcast(Low(one, two, context, [discount(*x) for x in seen] or [0.5]))
+
+    # The last four symbols come before the runs that end with them, with the count of the last three.
+    heads = near.select(F.col("run").alias("head"), _last(NEAR)).join(three.select("run", "n"), "run").select(F.shiftright("head", BITS).alias("near"), F.lit(0).alias("kind"), F.col("head").alias("run"), "n")
+    rows = totals.select(by_near, F.lit(1).alias("kind"), "run", "n")
+
+    def score(batches):
+        for t in _contexts(batches):
+            kind, run, n = (t.column(c).to_numpy() for c in ("kind", "run", "n"))
+            run, top = run.astype(np.int64).view(_U), kind == 0
+            head, below = summed(run[top], n[top].astype(np.float64))
+            run, n = run[~top], n[~top]
+            got = log_probabilities(run, n, head, below, low.value, order)
+            for at in range(0, len(run), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(run[at : at + (1 << 17)].view(np.int64)), pa.array(got[at : at + (1 << 17)])], ["run", "score"])
+
+    dealt = heads.unionAll(rows).repartition("near").sortWithinPartitions("near", "kind")
+    out = settle(dealt.mapInArrow(score, "run long, score double"), "runs")
+    forget(near, three)
+    return out
+
+
+# ---------------------------------------------------------------- buckets
+
+
+def _slices_of(batch: pa.RecordBatch, *columns: str):
     """Slices of a batch within which the columns don't change."""
     cut = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
     for c in columns:
@@ -218,91 +269,128 @@ def _runs_of(batch: pa.RecordBatch, *columns: str):
             yield batch.slice(a, b - a)
 
 
-def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, word, n, fresh``: for each different word of a bucket its count in the training texts.
+class _Tally:
+    """Different keys with their counts in all that is learnt and in what is set aside, merged when twice as many wait as there are."""
 
-    ``fresh`` marks one row for each word. The rows of a word are at most one
-    for each bucket, so no word gathers more than that in one place.
-    """
+    def __init__(self):
+        self.parts, self.kept = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
 
-    def different(batches):
-        kind = byte_class("solid")
-        at, keys, counts = None, [], []
+    def add(self, keys: np.ndarray, *weights: np.ndarray) -> None:
+        code, different = pd.factorize(keys)
+        self.parts.append((np.asarray(different, dtype=_U), *(np.bincount(code, w, len(different)).astype(np.int64) for w in weights)))
+        if sum(len(p[0]) for p in self.parts) > max(2 * self.kept, 1 << 20):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        self.parts = [summed(*map(np.concatenate, zip(*self.parts, strict=True)))]
+        self.kept = len(self.parts[0][0])
+        return self.parts[0]
+
+
+def _asked(docs: DataFrame, order: int) -> DataFrame:
+    """``bucket, kind, key, n, aside``: every different word and run of each bucket with its counts in training texts."""
 
-        def summed():
-            k, c = _merge(keys, counts)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), at, dtype=np.int32)), pa.array(k.view(np.int64)), pa.array(c)], ["bucket", "word", "n"])
+    def different(batches):
+        solid, at, tallies = byte_class("solid"), None, None
+
+        def handed():
+            for kind, tally in enumerate(tallies):
+                k, n, m = tally.merge()
+                for lo in range(0, len(k), 1 << 17):
+                    part = slice(lo, lo + (1 << 17))
+                    size = len(k[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(size, at, np.int32)), pa.array(np.full(size, kind, np.int32)), pa.array(k[part].view(np.int64)), pa.array(n[part]), pa.array(m[part])],
+                        ["bucket", "kind", "key", "n", "aside"],
+                    )
 
         for batch in batches:
-            for part in _runs_of(batch, "bucket"):
-                if at is not None and part.column("bucket")[0].as_py() != at:
-                    yield summed()
-                    keys, counts = [], []
-                at = part.column("bucket")[0].as_py()
+            for part in _slices_of(batch, "bucket"):
+                here = part.column("bucket")[0].as_py()
+                if here != at:
+                    if at is not None:
+                        yield from handed()
+                    at, tallies = here, (_Tally(), _Tally())
                 buf, off = text_bytes(part.column("text"))
-                learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
+                weights = [part.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("learn", "aside")]
                 for lo, hi in doc_slices(off):
-                    w = Words(buf, off[lo : hi + 1], kind)
-                    keys.append(w.hash)
-                    counts.append(np.repeat(learn[lo:hi], np.diff(w.bound)))
-                keys, counts = ([x] for x in _merge(keys, counts))
+                    w = Words(buf, off[lo : hi + 1], solid)
+                    tallies[WORD].add(w.hash, *(np.repeat(x[lo:hi], np.diff(w.bound)) for x in weights))
+                    packed, begin = runs(buf, off[lo : hi + 1], order)
+                    tallies[RUN].add(packed, *(np.repeat(x[lo:hi], np.diff(begin)) for x in weights))
         if at is not None:
-            yield summed()
+            yield from handed()
 
-    dealt = docs.select("bucket", "learn", "text").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    over = Window.partitionBy("word")
-    return dealt.mapInArrow(different, "bucket int, word long, n long").select(
-        "bucket", "word", F.sum("n").over(over).alias("n"), (F.row_number().over(over.orderBy("bucket")) == 1).alias("fresh")
-    )
+    dealt = docs.select("bucket", "learn", (F.col("learn") & set_aside()).alias("aside"), "text").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(different, "bucket int, kind int, key long, n long, aside long")
+
+
+def set_aside():
+    """The eighth of the texts on which discounts are estimated."""
+    return F.pmod(F.xxhash64("text", "doc_id"), F.lit(8)) == 0
 
 
-def score_texts(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn=None, order: int = ORDER, level_size: int | None = None, added: float = 0.1, bucket_bytes: int = BUCKET_BYTES
-) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn=None, order: int = ORDER, added: float = 0.1, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Learn from the rows where ``learn`` (a column expression; default: all) holds and score all whole texts.
 
     ``doc_id, learn, n_tokens, n_known, train_tokens, base_score, score``, one
-    row per row.
+    row per row. ``order`` is from 3 to 6.
     """
+    if not NEAR <= order <= 6:
+        raise ValueError("order is from 3 to 6")
+    spark = docs.sparkSession
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     docs = docs.select(F.col(doc_id).alias("doc_id"), text_column(text).alias("text"), learn.alias("learn"))
     kind_id = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("learn"), 1))).first()
-    buckets, ends = max(1, -(-(size[0] or 0) // bucket_bytes)), size[1]
-    trie = docs.sparkSession.sparkContext.broadcast(train(docs.filter("learn").select("text"), order, level_size))  # grows with the different runs
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, ends = max(1, -(-(size[0] or 0) // bucket_bytes), min(parts, -(-(size[0] or 0) // LEAST_BUCKET_BYTES))), size[1]
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    counts = settle(_word_counts(docs, buckets), "words")
-    got = counts.filter("fresh and n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    asked = settle(_asked(docs, order), "asked")
+    totals = settle(asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside")), "totals")
+    words, all_runs = totals.filter(F.col("kind") == WORD), totals.filter(F.col("kind") == RUN).select(F.col("key").alias("run"), "n", "aside")
+    got = words.filter("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
     different, total = got[0] + (ends > 0), (got[1] or 0) + ends
+    scores = run_scores(all_runs, order)
+    scored = scores.select(F.lit(RUN).alias("kind"), F.col("run").alias("key"), F.col("score").alias("value"))
+    values = words.select("kind", "key", F.col("n").cast("double").alias("value")).unionAll(scored)
+    answers = asked.select("bucket", "kind", "key").join(values, ["kind", "key"])
 
     def score(batches):
-        kind, whole = byte_class("solid"), total + added * (different + 1)
+        solid, whole = byte_class("solid"), total + added * (different + 1)
         last = np.log10((ends + added) / whole)
-        at, known, counted, pile = None, None, None, []
+        at, known, pile = None, None, None
         for batch in batches:
-            for part in _runs_of(batch, "bucket", "kind"):
-                if part.column("bucket")[0].as_py() != at:
-                    at, known, pile = part.column("bucket")[0].as_py(), None, []
-                if part.column("kind")[0].as_py() == 0:
-                    pile.append((part.column("word").to_numpy().view(_U), part.column("n").to_numpy()))
+            for part in _slices_of(batch, "bucket", "kind"):
+                here, kind = part.column("bucket")[0].as_py(), part.column("kind")[0].as_py()
+                if here != at:
+                    at, known, pile = here, None, ([], [])
+                if kind < 2:
+                    pile[kind].append((part.column("key").to_numpy().view(_U), part.column("value").to_numpy()))
                     continue
                 if known is None:
-                    known, first = np.unique(np.concatenate([k for k, _ in pile] or [np.zeros(1, _U)]), return_index=True)
-                    counted, pile = np.concatenate([n for _, n in pile] or [np.zeros(1, np.int64)])[first], []
+                    known = []
+                    for own in pile:
+                        k, v = (np.concatenate([np.zeros(0, t), *(x[i] for x in own)]) for i, t in enumerate((_U, np.float64)))
+                        rank = np.argsort(k)
+                        known.append((k[rank], v[rank]))
+                    pile = None
                 buf, off = text_bytes(part.column("text"))
                 tokens, seen_in, base, model = [], [], [], []
                 for lo, hi in doc_slices(off):
-                    w = Words(buf, off[lo : hi + 1], kind)
-                    where = np.searchsorted(known, w.hash)
-                    where[where == len(known)] = 0
-                    c = np.where(known[where] == w.hash, counted[where], 0)
+                    w = Words(buf, off[lo : hi + 1], solid)
+                    where, there = _found(known[WORD][0], w.hash)
+                    c = np.where(there, known[WORD][1][where], 0.0) if len(w.hash) else np.zeros(0)
                     logs = np.append(np.log10((c + added) / whole), 0.0)
                     empty = np.diff(w.bound) == 0
                     seen = np.append(0, np.cumsum(c > 0))
                     tokens.append(np.diff(w.bound) + 1)
                     seen_in.append(seen[w.bound[1:]] - seen[w.bound[:-1]] + (ends > 0))
                     base.append(np.where(empty, 0.0, np.add.reduceat(logs, w.bound[:-1])) + last)
-                    model.append(trie.value.score(buf, off[lo : hi + 1]))
+                    packed, begin = runs(buf, off[lo : hi + 1], order)
+                    code, distinct = pd.factorize(packed)
+                    slot = np.searchsorted(known[RUN][0], np.asarray(distinct, dtype=_U))  # all are there: the bucket asked for them
+                    model.append(np.add.reduceat(known[RUN][1][slot][code], begin[:-1]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -317,10 +405,12 @@ def score_texts(
                 )
 
     none = lambda kind: F.lit(None).cast(kind)
-    words = counts.select("bucket", F.lit(0).alias("kind"), none(kind_id).alias("doc_id"), none("string").alias("text"), none("boolean").alias("learn"), "word", "n")
-    texts = docs.select("bucket", F.lit(1).alias("kind"), "doc_id", "text", "learn", none("long").alias("word"), none("long").alias("n"))
-    dealt = words.unionAll(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(score, f"doc_id {kind_id}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    given = answers.select("bucket", "kind", none(kind_id).alias("doc_id"), none("string").alias("text"), none("boolean").alias("learn"), "key", "value")
+    texts = docs.select("bucket", F.lit(2).alias("kind"), "doc_id", "text", "learn", none("long").alias("key"), none("double").alias("value"))
+    dealt = given.unionAll(texts).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    out = settle(dealt.mapInArrow(score, f"doc_id {kind_id}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    forget(asked, totals, scores)
+    return out
 
 
 def held_out(doc_id: str = "doc_id"):

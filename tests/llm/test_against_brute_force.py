@@ -63,54 +63,77 @@ def test_templates(spark):
 class Plain:
     """The same model with dictionaries."""
 
-    def __init__(self, corpus, order):
-        self.order, self.n = order, [Counter() for _ in range(order + 1)]
+    def __init__(self, corpus, order, aside=()):
+        self.order = order
+        self.n, others, apart = self.counted(corpus), self.counted([t for n, t in enumerate(corpus) if n not in aside]), self.counted([corpus[n] for n in aside])
+        self.discounts = []
+        for d in range(order + 1):
+            failed = expected = 0
+            for context, own in apart[d].items():
+                if have := others[d].get(context):
+                    failed += sum(n for x, n in own.items() if x not in have)
+                    expected += sum(own.values()) * len(have) / sum(have.values())
+            self.discounts.append(min(0.95, max(0.01, failed / expected)) if expected else 0.5)
+
+    def counted(self, corpus):
+        out = [{} for _ in range(self.order + 1)]
         for t in corpus:
             s = self.symbols(t)
-            for i in range(order, len(s)):
-                for d in range(order + 1):
-                    self.n[d][s[i - d : i + 1]] += 1
+            for i in range(self.order, len(s)):
+                for d in range(self.order + 1):
+                    own = out[d].setdefault(s[i - d : i], Counter())
+                    own[s[i]] += 1
+        return out
 
     def symbols(self, text):
-        return (0,) * self.order + tuple(b + 1 for b in lower(text).encode()) + (257,)
+        return (0,) * self.order + tuple(b + 1 for b in lower(text or "").encode()) + (257,)
 
     def probability(self, context, symbol):
         p, excluded = 1.0, set()
         for d in range(self.order, -1, -1):
-            c = context[len(context) - d :]
-            offered = {k[-1]: n for k, n in self.n[d].items() if k[:-1] == c and k[-1] not in excluded}
-            if not any(k[:-1] == c for k in self.n[d]):
-                continue
+            own = self.n[d].get(context[len(context) - d :], {})
+            offered = {x: n for x, n in own.items() if x not in excluded}
             whole = sum(offered.values())
             if not whole:
                 continue
             if symbol in offered:
-                return p * (offered[symbol] - ppm.DISCOUNT) / whole
-            p *= ppm.DISCOUNT * len(offered) / whole
+                return p * (offered[symbol] - self.discounts[d]) / whole
+            p *= self.discounts[d] * len(offered) / whole
             excluded |= set(offered)
         return p / max(1, 257 - len(excluded))
 
+    def score(self, text):
+        s = self.symbols(text)
+        return sum(math.log10(self.probability(s[i - self.order : i], s[i])) for i in range(self.order, len(s)))
+
 
-def test_probabilities():
+@pytest.mark.parametrize("order", [3, 4, 5])
+def test_probabilities(docs_of, order):
     rng = random.Random(3)
-    corpus = ["".join(rng.choice("abra cad") for _ in range(rng.randint(0, 40))) for _ in range(12)]
-    order = 3
-    buf, off = common.text_bytes(pa.array(corpus))
-    k, n = np.unique(ppm.runs(buf, off, order)[0], return_counts=True)
-    levels, contexts = [], []
-    for d in range(order + 1):
-        kk, nn = ppm._merge([k & np.uint64((1 << ppm.BITS * (d + 1)) - 1)], [n])
-        levels.append((kk, nn))
-        contexts.append(ppm._merge([kk >> np.uint64(ppm.BITS)], [nn]))
-    trie, plain = ppm.Trie(levels, contexts), Plain(corpus, order)
-    new = ["", "abracadabra", "zz abra é", "Cab"]
-    buf, off = common.text_bytes(pa.array(new))
-    for text, score in zip(new, trie.score(buf, off), strict=True):
-        s = plain.symbols(text)
-        want = sum(math.log10(plain.probability(s[i - order : i], s[i])) for i in range(order, len(s)))
-        assert score == pytest.approx(want, abs=1e-9)
-    for context in ((0, 0, 0), (2, 99, 19), (200, 200, 200)):
-        assert sum(plain.probability(context, x) for x in range(1, 258)) == pytest.approx(1, abs=1e-9)
+    corpus = ["".join(rng.choice("abra cad") for _ in range(rng.randint(0, 40))) for _ in range(40)] + ["", None, "zz abra é", "Cab" * 3000]
+    rows = list(enumerate(corpus))
+    learn = [n for n in range(len(rows)) if n % 4]
+    apart = {r[0] for r in docs_of(rows).withColumn("text", F.coalesce("text", F.lit(""))).filter(ppm.set_aside()).select("doc_id").collect()}
+    plain = Plain([corpus[n] for n in learn], order, [at for at, n in enumerate(learn) if n in apart])
+    got = ppm.score_texts(docs_of(rows), learn=F.col("doc_id") % 4 != 0, order=order, bucket_bytes=700).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(plain.score(corpus[r["doc_id"]]), rel=1e-9)
+    for context in ((0, 0, 0, 0, 0), (2, 99, 19, 2, 99), (200,) * 5):
+        assert sum(plain.probability(context[-order:], x) for x in range(1, 258)) == pytest.approx(1, abs=1e-9)
+
+
+def test_the_whole_model_of_a_table(spark):
+    """Every score of the query on sf0.001 is that of the dictionary version, learnt from all training texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: r for r in ppm.score_texts(docs, learn=~ppm.held_out()).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    apart = {r[0] for r in docs.filter(ppm.set_aside()).select("doc_id").collect()}
+    learn = [n for n in texts if got[n]["learn"]]
+    plain = Plain([texts[n] for n in learn], ppm.ORDER, [at for at, n in enumerate(learn) if n in apart])
+    for n, t in texts.items():
+        if len(t or "") < 20_000:
+            assert got[n]["score"] == pytest.approx(plain.score(t), rel=1e-9)
 
 
 def test_scores(spark, docs_of):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from pageloom.llm import chaining, common, jaccard, knn_quality, ppm, url_filter
+from pageloom.llm import chaining, common, jaccard, knn_quality, url_filter
 
 
 def _shingles(words, k=5):
@@ -31,21 +31,6 @@ def test_near_copies_meet_whatever_hosts_share_their_bands(docs_of):
     assert len(set(found.values())) == len(rows) - len(pairs)
 
 
-# ------------------------------------------------------------------ op2
-
-
-def test_trie_keeps_every_run_of_the_corpus(docs_of):
-    rng = random.Random(5)
-    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=4000)) for _ in range(100)]
-    trie = ppm.train(docs_of(list(enumerate(texts))).select("text"))
-    packed = ppm.runs(*common.text_bytes(pa.array(texts)), ppm.ORDER)[0]
-    for depth in range(ppm.ORDER + 1):
-        want, n = np.unique(packed & np.uint64((1 << ppm.BITS * (depth + 1)) - 1), return_counts=True)
-        assert len(trie.runs[depth]) == len(want)
-        assert (trie.runs[depth] == want).all() and (trie.counts[depth] == n).all()
-        assert not trie.left[depth].any()
-
-
 # ------------------------------------------------------------------ op5
 
 
