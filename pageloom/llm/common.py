@@ -102,25 +102,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=_U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = max(n, CHUNK + 4096)
-        _tables["up"] = _powers(_BASE, size)
-        _tables["down"] = _powers(pow(_BASE, -1, 1 << 64), size)
-    return _tables["up"], _tables["down"]
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: A random number for each byte.
+_NOISE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
 
 
 def byte_class(kind: str) -> np.ndarray:
@@ -198,14 +183,14 @@ class Words:
         cut = edges[(edges > 0) & (edges <= len(b))] - 1
         after[cut] = False
         end = np.flatnonzero(inside & ~after) + 1
-        up, down = _power_tables(len(b))
-        v = _LOWER[b].astype(_U)
-        v += _U(1)
-        v *= up[: len(b)]
-        total = np.cumsum(v)
-        h = total[end - 1] - total[start] + v[start]
-        h *= down[start]
-        return start, end, mix(h)
+        if not len(start):
+            return start, end, np.zeros(0, _U)
+        # A sum over (byte, place in the word), each pair finalised on its own, so that no pattern of bytes cancels out.
+        lo = start[0]
+        place = np.arange(lo, len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+        v = mix(_NOISE[_LOWER[b[lo:]]] + place.astype(_U) * _U(0xD1342543DE82EF95))
+        v[~inside[lo:]] = 0
+        return start, end, mix(np.add.reduceat(v, start - lo) + (end - start).astype(_U))
 
     def text(self, i: int) -> bytes:
         """Word ``i``, with A-Z in lower case."""
