@@ -236,7 +236,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds (each a grouped minimum and a
     join on the node), every round settled in the shared folder. Edges stay at
-    most as many as they were; nothing but a pair of sums reaches the driver.
+    most as many as they were; nothing but a pair of sums reaches the driver. The
+    result reads a settled table, which :func:`forget` deletes.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
     pairs = settle(pairs, "edges")
@@ -259,7 +260,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = roots.unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out._settled_at = pairs._settled_at
+    return out
 
 
 def _state(pairs: DataFrame) -> tuple:

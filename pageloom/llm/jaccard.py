@@ -8,21 +8,29 @@ one *node* from the start, whatever their number. Then
    rows as members, never all pairs);
 2. ties are pruned by comparing MinHash values in steps and dropping a tie as
    soon as the posterior probability that its similarity reaches the threshold
-   falls below ``tolerance``. Ties that survive give groups. Members of one band
-   that are in different groups are then compared with each other, all pairs, in
-   blocks of at most ``band_block`` nodes, with the same pruning: a pair must not
-   be lost because the smallest node of its bands is unlike either;
-3. all ties that survive give candidate groups. Groups are cut into blocks of at
-   most ``block`` nodes and each pair of blocks is one unit of work, so a large
-   group is spread over many tasks; inside a unit all pairs pass the same
-   Bayesian pruning and the rest is verified exactly on the shingle sets. A unit
-   returns one row per node (a count and a parent), not its pairs;
-4. components of the verified links are the classes.
+   falls below ``tolerance``. A node takes the smallest node that it is still
+   tied to as its label (and that one's label). Members of one band that have
+   different labels are then compared with each other, all pairs, in blocks of at
+   most ``band_block`` nodes, with the same pruning: a pair must not be lost
+   because the smallest node of its bands is unlike either;
+3. components of all ties that survive are candidate groups. Groups are cut into
+   blocks of about ``block`` nodes and 2 ** 20 shingles and each pair of blocks
+   is one unit of work, so a large group is spread over many tasks; inside a
+   unit all pairs pass the same Bayesian pruning and the rest is verified exactly
+   on the shingle sets. A unit returns one row per node (a count and a parent),
+   not its pairs. A set is sent once for each block of its group;
+4. components of the verified links are the classes; a group of one block has
+   them from its unit.
 
 At similarity 0.8, ``32`` bands of ``6`` values miss a pair with probability
 0.00006, at 0.85 with 0.0000003.
 
-Edge cases: fewer than five words make one shingle; a text without words (also
+A similarity of 0.8 on five-word runs allows one changed word in 45, evenly
+spread; copies with more edits than that are not linked.
+
+Edge cases: an empty table gives an empty result; extra columns are ignored, in
+:func:`one_of_each` carried; a very long text is one set, compared like any other
+(equal similarities need no order, links are counted and not ranked); fewer than five words make one shingle; a text without words (also
 null or empty) equals only texts that are the same string, null counting as
 empty; repeated rows share a class; rows with a null id take part and their
 class id is the smallest id that is not null, if there is one.
@@ -44,8 +52,9 @@ from pageloom.llm.common import Words, byte_class, components, doc_slices, forge
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 TOLERANCE = 1e-6
-BLOCK, BAND_BLOCK = 256, 4096
+BLOCK, BLOCK_SHINGLES, BAND_BLOCK = 512, 1 << 20, 4096
 _U = np.uint64
+_ROW, _KEPT = "__row_of_jaccard", "__kept_by_jaccard"
 
 
 def _permutations(n: int) -> np.ndarray:
@@ -124,11 +133,11 @@ def _sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                         key += v
                     keys.append(mix(key).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(small, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "node", "n_shingles", "values", "bands"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(small, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "row", "node", "n_shingles", "values", "bands"],
             )
 
-    return docs.mapInArrow(sketch, f"doc_id {kind_id}, node binary, n_shingles int, values binary, bands array<long>")
+    return docs.mapInArrow(sketch, f"doc_id {kind_id}, row long, node binary, n_shingles int, values binary, bands array<long>")
 
 
 def _pruned(ties: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -254,10 +263,11 @@ def _verified(members: DataFrame, threshold: float, tolerance: float) -> DataFra
                 "texts": pa.array(texts[some], pa.int64()),
                 "rows": pa.array(rows[some].astype(np.int64), pa.int64()),
                 "parent": pa.array([nodes[forest.root(x)] for x in some], pa.binary()),
+                "alone": pa.array([t.column("blocks")[0].as_py() == 1] * len(some), pa.bool_()),
             }
         )
 
-    return members.groupBy("root", "i", "j").applyInArrow(verify, "node binary, texts long, rows long, parent binary")
+    return members.groupBy("root", "i", "j").applyInArrow(verify, "node binary, texts long, rows long, parent binary, alone boolean")
 
 
 def near_duplicates(
@@ -279,34 +289,45 @@ def near_duplicates(
     ``n_text_links`` the same counted in different sets, ``n_copies`` the
     documents with this set, ``first`` whether the set is that of ``class_id``.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), text_column(text).alias("text"))
+    out = _classified(docs, F.col(doc_id), text, F.lit(0).cast("long"), shingle, threshold, bands, rows, tolerance, block, band_block)
+    return out.select("doc_id", F.col("least.doc_id").alias("class_id"), "n_links", "n_text_links", "n_copies", F.col("own.doc_id").eqNullSafe(F.col("least.doc_id")).alias("first"))
+
+
+def _classified(docs, doc_id, text, row, shingle, threshold, bands, rows, tolerance, block, band_block) -> DataFrame:
+    """``doc_id, row, least, own, n_links, n_text_links, n_copies``: the least document ``(unnamed, doc_id, row)`` of the class and of the set."""
+    docs = docs.select(doc_id.alias("doc_id"), text_column(text).alias("text"), row.alias("row"))
     sketch = settle(_sketches(docs, shingle, bands, rows), "sketch")
-    count = sketch.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    count = settle(sketch.groupBy("node").agg(least.alias("own"), F.count(F.lit(1)).alias("copies")), "counts")
     # One sketch for each node that has words.
     one = sketch.filter("n_shingles > 0").dropDuplicates(["node"]).select("node", "n_shingles", "values", "bands")
     nodes = settle(one, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     star = banded.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("z")).filter("b != z").select("band", "b")
-    ties = banded.join(star, "band").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+    met = settle(banded.join(star, "band"), "bands")
+    ties = met.filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     values = nodes.select("node", "values")
     ties = ties.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b")
-    stars = settle(components(_pruned(ties, threshold, tolerance)), "stars")
+    labels = settle(_pruned(ties, threshold, tolerance).groupBy("a").agg(F.min("b").alias("root")), "labels")
+    above = labels.toDF("root", "top")
+    jumped = labels.join(above, "root", "left").select(F.col("a").alias("node"), F.coalesce("top", "root").alias("root"))
 
-    # Bands whose members are not in one group by now; their members meet, block by block.
-    of = banded.join(star.select("band"), "band").join(stars, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    of = settle(of, "members")
+    # Bands whose members do not have one label by now; their members meet, block by block.
+    of = settle(met.select("band", "node").join(jumped, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "members")
     # Bands with the same members are one.
     kinds = of.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")).filter("lo != hi")
     open_ = settle(kinds.groupBy("n", "all").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / F.lit(band_block)).cast("int").alias("blocks")), "open")
-    met = of.join(open_, "band").join(values, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = _across(met.select("band", "i", "j", "block", "node", "root", "values"), threshold, tolerance)
-    groups = settle(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)), "groups")
-    forget(of, open_, stars)
-
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    facing = of.join(open_, "band").join(values, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    facing = facing.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = _across(facing.select("band", "i", "j", "block", "node", "root", "values"), threshold, tolerance)
+    tied = components(labels.toDF("a", "b").unionAll(more))
+    groups = settle(tied, "groups")
+    forget(met, of, open_, labels, tied)
+
+    sizes = groups.join(nodes.select("node", "n_shingles"), "node").groupBy("root")
+    sizes = sizes.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = placed.join(count, "node").join(values, "node")
+    wanted = placed.join(count.select("node", "own.doc_id", "copies"), "node").join(values, "node")
     # Merge joins with the texts at every size: what is wanted grows with the documents.
     pieces = docs.join(wanted.withColumnRenamed("doc_id", "_of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_of")))
     kind_of = {"node": "binary", "root": "binary", "blocks": "int", "block": "int", "copies": "long", "values": "binary"}
@@ -334,31 +355,48 @@ def near_duplicates(
     found = settle(_verified(units, threshold, tolerance), "links")
 
     links = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("rows").alias("rows"))
-    classes = components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    spread = components(found.filter("not alone").select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    classes = spread.unionAll(found.filter("alone").select("node", F.col("parent").alias("root")))
     joined = count.join(classes, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # The class id: a grouped minimum, so a large class is pre-aggregated.
-    ids = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = joined.join(ids, "root").select("node", "copies", "texts", "rows", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("first"))
-    out = sketch.select("doc_id", "node").join(named, "node")
-    forget(groups)
-    return out.select(
+    ids = joined.groupBy("root").agg(F.min("own").alias("least"))
+    named = joined.join(ids, "root").select("node", "copies", "texts", "rows", "own", "least")
+    out = sketch.select("doc_id", "row", "node").join(named, "node")
+    out = out.select(
         "doc_id",
-        "class_id",
+        "row",
+        "least",
+        "own",
         (F.coalesce("rows", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
         F.col("copies").cast("long").alias("n_copies"),
-        "first",
     )
+    out = settle(out, "classes")
+    forget(sketch, count, nodes, groups, found, spread)
+    return out
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with one of each class, the one with the smallest id.
+def one_of_each(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    tolerance: float = TOLERANCE,
+    block: int = BLOCK,
+    band_block: int = BAND_BLOCK,
+) -> DataFrame:
+    """The documents with one row of each class, the one with the smallest id.
 
-    Repeated rows of that id stay once; a document whose id is null stays if no
-    other document is in its class.
+    A row is told from others by its id and a hash of all its columns, so other
+    texts under the same id are judged on their own. Rows without an id come
+    after all that have one. Of rows that are equal in every column one stays.
     """
-    found = settle(near_duplicates(docs, doc_id, text, **options), "classes")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone"))
-    again = found.groupBy(F.col("doc_id").alias("__gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    kept = docs.join(gone.hint("merge"), F.col(doc_id) == F.col("__gone"), "left_anti")
-    return kept if again.isEmpty() else kept.dropDuplicates([doc_id])
+    row = F.xxhash64(*(F.col(c) for c in docs.columns))
+    found = _classified(docs, F.col(doc_id), text, row, shingle, threshold, bands, rows, tolerance, block, band_block)
+    kept = found.groupBy("least").agg(F.count(F.lit(1))).select(F.struct("least.doc_id", "least.row").alias(_KEPT))
+    key = F.struct(F.col(doc_id).alias("doc_id"), row.alias("row"))
+    marked = docs.withColumn(_ROW, key)
+    return marked.join(kept.hint("merge"), F.col(_ROW).eqNullSafe(F.col(_KEPT)), "left_semi").dropDuplicates([_ROW]).drop(_ROW)

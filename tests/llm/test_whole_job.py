@@ -31,6 +31,16 @@ def test_near_copies_meet_whatever_hosts_share_their_bands(docs_of):
     assert len(set(found.values())) == len(rows) - len(pairs)
 
 
+def test_rows_are_told_apart_by_more_than_their_id(docs_of):
+    """Unrelated texts under one id, or without an id, are all kept; one of equal rows is."""
+    fresh = lambda seed: " ".join(f"w{seed}x{n}" for n in range(40))
+    rows = [(None, fresh(1)), (None, fresh(2)), (5, fresh(3)), (5, fresh(4)), (6, fresh(3)), (2**63 - 1, fresh(5)), (2**63 - 1, fresh(5)), (None, fresh(4)), (-(2**63), fresh(2))]
+    kept = sorted((r.doc_id or 0, r.text) for r in jaccard.one_of_each(docs_of(rows)).collect())
+    assert kept == sorted([(0, fresh(1)), (5, fresh(3)), (5, fresh(4)), (2**63 - 1, fresh(5)), (-(2**63), fresh(2))])
+    found = jaccard.near_duplicates(docs_of(rows)).collect()
+    assert len(found) == len(rows) and {r.class_id for r in found} == {None, 5, 2**63 - 1, -(2**63)}
+
+
 # ------------------------------------------------------------------ op5
 
 
