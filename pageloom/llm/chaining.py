@@ -2,7 +2,9 @@
 
 1. *Seeds.* Words are hashed; of all runs of ``k`` words in every window of
    ``w`` runs the one with the smallest hash is kept, so two documents that
-   share ``w + k - 1`` words in a row share a seed.
+   share ``w + k - 1`` words in a row share a seed. Three such runs that follow
+   each other make a long seed (some 20 words): common phrases shadow short
+   seeds the more, the larger the corpus is, and long ones not.
 2. *Join.* The first place of a seed, by (document, word), is its reference. A
    grouped minimum finds it, so a seed that a third of all documents have is
    pre-aggregated before the shuffle; other documents' places of the seed are
@@ -12,19 +14,21 @@
    a Fenwick tree over the reference positions gives.
 4. *Alignment.* The words of both sides around a chain are fetched (only of
    documents that take part, as 32-bit codes) and aligned by extending matches
-   along diagonals across edits. What is repeated is the union over references,
-   so a passage whose seeds have different first places is found whole.
+   along diagonals across edits. What is repeated is the union over references.
+   A passage is lost only if its short seeds and also its long ones first stand
+   in other documents that hold parts of it and together cover too little of it.
 5. A repeated passage has at least ``min_words`` words, of which ``identity``
    or more match.
 
 A seed's first place is never a repeat of another, so every passage survives
 once. Repeats within one document are not looked for.
 
-Edge cases: null or empty texts have no words; repeated rows of one id share
-their places and count as one document (ids are expected to name one text: of
-several, one is aligned and all get its spans); rows with a null id take no part
-and are left as they are; extra columns are ignored or, in :func:`cut_repeats`,
-carried.
+Edge cases: null or empty texts have no words; a document is an id and a text:
+repeated rows share their places and count as one, other texts under the same
+id (or without an id, which come last) are documents of their own; ties of
+chains go to the one that begins first; a very long text is chained and aligned
+in its own group of matches; an empty table gives an empty result; extra columns
+are ignored or, in :func:`cut_repeats`, carried.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ K, W = 5, 16
 MIN_WORDS, IDENTITY = 50, 0.8
 MAX_GAP = 40
 GAP_COST = 0.25
+_OF, _SPANS = "__document_of_chaining", "__spans_of_chaining"
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -144,9 +149,7 @@ def aligned(x: np.ndarray, y: np.ndarray, d: list[int], r: list[int], k: int = K
     """Which words of ``x`` match ``y`` along a chain of matches (``d``, ``r``)."""
     hit = np.zeros(len(x), dtype=bool)
     for i, j in zip(d, r, strict=True):
-        n = min(k, len(x) - i, len(y) - j)  # less only where one id has several texts
-        if n > 0:
-            hit[i : i + n] = x[i : i + n] == y[j : j + n]
+        hit[i : i + k] = x[i : i + k] == y[j : j + k]
     for n, (i, j) in enumerate(zip(d, r, strict=True)):
         end = (d[n + 1], r[n + 1]) if n + 1 < len(d) else (len(x), len(y))
         if i + k < end[0] and j + k < end[1]:
@@ -202,70 +205,87 @@ def passages_exact(hit: np.ndarray, shift: int, min_words: int) -> list[tuple[in
     return [(int(a) + shift, int(b - a)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= min_words]
 
 
+_KEY = ("doc_id", "tag")
+
+
+def _identified(doc_id: str, text: str):
+    """``doc_id, tag``: which document a row is. A row without an id has one from its text, above half of all ids."""
+    whole = text_column(text)
+    own = F.shiftrightunsigned(F.xxhash64(whole, F.lit(1)), 2).bitwiseOR(1 << 62)
+    return F.coalesce(F.col(doc_id).cast("long"), own), F.shiftrightunsigned(F.xxhash64(whole), 33)
+
+
 def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
+    """``seed, doc_id, place``: the place is the document's tag and the word (31 and 32 bits)."""
+
     def seeds(batches):
         kind = byte_class("letters")
         for batch in batches:
             buf, off = text_bytes(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, tags = batch.column("doc_id"), batch.column("tag").to_numpy()
             for lo, hi in doc_slices(off):
                 words = Words(buf, off[lo : hi + 1], kind)
                 at = minimizers(words.hash, words.bound, k, w)
-                runs = shingle_hashes(words.hash, k)[at]
+                short = shingle_hashes(words.hash, k)[at]
                 home = np.searchsorted(words.bound, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), ids.take(pa.array(lo + home)), pa.array((at - words.bound[home]).astype(np.int32))], ["seed", "doc_id", "word"])
+                place = (tags[lo + home] << 32) | (at - words.bound[home])
+                whole = np.flatnonzero(home[:-2] == home[2:]) if len(at) > 2 else np.zeros(0, np.int64)
+                names = np.concatenate([short, ~shingle_hashes(short, 3)[whole]])
+                rank = np.concatenate([np.arange(len(at)), whole])
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), ids.take(pa.array(lo + home[rank])), pa.array(place[rank])], ["seed", "doc_id", "place"])
 
-    return docs.mapInArrow(seeds, "seed long, doc_id long, word int")
+    return docs.mapInArrow(seeds, "seed long, doc_id long, place long")
 
 
 def _candidates(matches: DataFrame, k: int) -> DataFrame:
-    """``doc_id, ref, d, r``: all chains, best first, one row for each group of
+    """``doc_id, tag, ref, ref_tag, d, r``: all chains, best first, one row for each group of
     neighbouring matches and reference. A document's matches are at most its seeds."""
 
-    def close(d, refs, r):
+    def close(found):
         # Matches of any reference, near each other in this document. One is enough: length and identity are judged after alignment.
-        order = sorted(range(len(d)), key=lambda i: d[i])
-        group: list[int] = []
-        for i in [*order, None]:
-            if group and (i is None or d[i] - d[group[-1]] > MAX_GAP + k):
-                by: dict[int, list[int]] = {}
-                for g in group:
-                    by.setdefault(refs[g], []).append(g)
-                for ref, own in by.items():
-                    found = chains([d[g] for g in own], [r[g] for g in own], k)
-                    yield ref, [[d[own[c]] for c in chain] for chain in found], [[r[own[c]] for c in chain] for chain in found]
+        found = sorted(set(found))  # a short and a long seed may begin at one word
+        group: list[tuple] = []
+        for m in [*found, None]:
+            if group and (m is None or m[0] - group[-1][0] > MAX_GAP + k):
+                by: dict[tuple, list[tuple]] = {}
+                for word, ref, ref_place in group:
+                    by.setdefault((ref, ref_place >> 32), []).append((word, ref_place & 0xFFFFFFFF))
+                for (ref, ref_tag), own in by.items():
+                    got = chains([d for d, _ in own], [r for _, r in own], k)
+                    yield ref, ref_tag, [[own[c][0] for c in chain] for chain in got], [[own[c][1] for c in chain] for chain in got]
                 group = []
-            if i is not None:
-                group.append(i)
+            if m is not None:
+                group.append(m)
 
     def chain(batches):
         rest = None
-        for batch in [*_with_end(batches)]:
+        for batch in _with_end(batches):
             if batch is not None:
                 t = pa.Table.from_batches([batch])
                 rest = t if rest is None else pa.concat_tables([rest, t])
                 if not rest.num_rows:
                     continue
-                ids = rest.column("doc_id").to_numpy()
-                done = int(np.searchsorted(ids, ids[-1], "left"))  # the last document may go on in the next batch
+                ids, tags = (rest.column(c).to_numpy() for c in _KEY)
+                other = (ids != ids[-1]) | (tags != tags[-1])  # the last document may go on in the next batch
+                done = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             else:
                 done = rest.num_rows if rest is not None else 0
             if not done:
                 continue
             part, rest = rest.slice(0, done), rest.slice(done)
-            ids = part.column("doc_id").to_numpy()
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            d, refs, r = (part.column(c).to_pylist() for c in ("word", "ref", "ref_word"))
-            out: dict[str, list] = {c: [] for c in ("doc_id", "ref", "d", "r")}
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                for ref, x, y in close(d[a:b], refs[a:b], r[a:b]):
-                    for name, value in zip(out, (int(ids[a]), ref, x, y), strict=True):
+            ids, tags = (part.column(c).to_numpy() for c in _KEY)
+            cuts = (np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1).tolist()
+            found = list(zip(*(part.column(c).to_pylist() for c in ("word", "ref", "ref_place")), strict=True))
+            out: dict[str, list] = {c: [] for c in (*_KEY, "ref", "ref_tag", "d", "r")}
+            for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                for values in close(found[a:b]):
+                    for name, value in zip(out, (int(ids[a]), int(tags[a]), *values), strict=True):
                         out[name].append(value)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())))
+            types = (*[pa.int64()] * 4, *[pa.list_(pa.list_(pa.int64()))] * 2)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
 
-    dealt = matches.repartition("doc_id").sortWithinPartitions("doc_id", "word")
-    return dealt.mapInArrow(chain, "doc_id long, ref long, d array<array<int>>, r array<array<int>>")
+    dealt = matches.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    return dealt.mapInArrow(chain, "doc_id long, tag long, ref long, ref_tag long, d array<array<long>>, r array<array<long>>")
 
 
 def _with_end(batches):
@@ -274,7 +294,7 @@ def _with_end(batches):
 
 
 def _codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Word codes (4 bytes each) of the wanted documents; of repeated ids the first row that comes."""
+    """Word codes (4 bytes each) of the wanted documents."""
 
     def code(batches):
         kind = byte_class("letters")
@@ -285,37 +305,40 @@ def _codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = Words(buf, off[lo : hi + 1], kind)
                 small = (words.hash >> np.uint64(32)).astype(np.uint32)
                 out += [small[a:b].tobytes() for a, b in zip(words.bound[:-1], words.bound[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "codes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(out, pa.binary())], [*_KEY, "codes"])
 
     # A merge join at every size: what is wanted grows with the documents.
-    return docs.join(wanted.hint("merge"), "doc_id").mapInArrow(code, "doc_id long, codes binary")
+    return docs.join(wanted.hint("merge"), list(_KEY)).mapInArrow(code, "doc_id long, tag long, codes binary")
 
 
 def repeated_passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, w: int = W, min_words: int = MIN_WORDS, identity: float = IDENTITY
 ) -> DataFrame:
-    """``doc_id, spans, refs`` of each document that repeats passages of documents with smaller ids.
+    """``doc_id, tag, spans, refs`` of each document that repeats passages of documents with smaller ids.
 
-    ``spans``: (first word, number of words) in order; ``refs``: the documents
-    that they were aligned with.
+    ``tag`` stands for the text. ``spans``: (first word, number of words) in
+    order; ``refs``: the ids of the documents that they were aligned with.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text")).filter("doc_id is not null")
+    own, tag = _identified(doc_id, text)
+    docs = docs.select(own.alias("doc_id"), tag.alias("tag"), text_column(text).alias("text"))
     seeds = _seeds(docs, k, w)
-    place = F.struct("doc_id", "word")
-    shared = seeds.groupBy("seed").agg(F.min(place).alias("at"), F.max("doc_id").alias("last")).filter("at.doc_id != last")
+    of = lambda c: F.struct(F.col(f"{c}.doc_id").alias("ref"), F.shiftright(F.col(f"{c}.place"), 32).alias("ref_tag"))
+    place = F.struct("doc_id", "place")
+    shared = seeds.groupBy("seed").agg(F.min(place).alias("at"), F.max(place).alias("last")).filter(of("at") != of("last"))
     # Settled, so that the join below has a plain exchange on either side and hot seeds can be split.
-    shared = settle(shared.select("seed", F.col("at.doc_id").alias("ref"), F.col("at.word").alias("ref_word")), "seeds")
-    matches = seeds.join(shared, "seed").filter("doc_id != ref").select("doc_id", "word", "ref", "ref_word")
+    shared = settle(shared.select("seed", F.col("at.doc_id").alias("ref"), F.col("at.place").alias("ref_place")), "seeds")
+    matches = seeds.join(shared, "seed").select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("word"), "ref", "ref_place")
+    matches = matches.filter((F.col("doc_id") != F.col("ref")) | (F.col("tag") != F.shiftright("ref_place", 32)))
     found = settle(_candidates(matches, k), "chains")
-    wanted = found.select("doc_id").unionAll(found.select("ref")).distinct()
-    codes = settle(_codes(docs, wanted).dropDuplicates(["doc_id"]), "codes")
+    wanted = found.select(*_KEY).unionAll(found.select("ref", "ref_tag")).distinct()
+    codes = settle(_codes(docs, wanted).dropDuplicates(list(_KEY)), "codes")
 
     margin = min_words + w + k
     low = lambda c: F.greatest(F.lit(0), F.array_min(F.flatten(c)) - margin)
     span = lambda c: F.array_max(F.flatten(c)) + k + margin - low(c)
     cut = lambda c: F.substring("codes", 4 * low(c) + 1, 4 * span(c))
-    there = found.join(codes.withColumnRenamed("doc_id", "ref"), "ref").select("doc_id", "ref", "d", "r", cut("r").alias("y"))
-    both = there.join(codes, "doc_id").select("doc_id", "ref", "d", "r", "y", cut("d").alias("x"), low("d").alias("d0"), low("r").alias("r0"))
+    there = found.join(codes.toDF("ref", "ref_tag", "codes"), ["ref", "ref_tag"]).select(*_KEY, "ref", "d", "r", cut("r").alias("y"))
+    both = there.join(codes, list(_KEY)).select(*_KEY, "ref", "d", "r", "y", cut("d").alias("x"), low("d").alias("d0"), low("r").alias("r0"))
 
     def align(batches):
         for batch in batches:
@@ -331,9 +354,9 @@ def repeated_passages(
                 first.append([a for a, _ in runs])
                 n.append([b for _, b in runs])
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ref"), pa.array(first, lists), pa.array(n, lists)], ["doc_id", "ref", "first", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_KEY, "ref")), pa.array(first, lists), pa.array(n, lists)], [*_KEY, "ref", "first", "n"])
 
-    runs = both.mapInArrow(align, "doc_id long, ref long, first array<long>, n array<long>")
+    runs = both.mapInArrow(align, "doc_id long, tag long, ref long, first array<long>, n array<long>")
 
     def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:  # at most the words of one document, several times over
         t = t.filter(pc.greater(pc.list_value_length(t.column("n")), 0))
@@ -348,11 +371,11 @@ def repeated_passages(
         for a, b in spans:
             inside[a : a + b] = True
         used = sorted({int(x) for x, a in zip(refs, first, strict=True) if inside[a]})
-        kinds = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))), ("refs", pa.list_(pa.int64()))])
-        rows = [{"doc_id": key[0].as_py(), "spans": [{"first": a, "n": b} for a, b in spans], "refs": used}] if spans else []
+        kinds = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))), ("refs", pa.list_(pa.int64()))])
+        rows = [{"doc_id": key[0].as_py(), "tag": key[1].as_py(), "spans": [{"first": a, "n": b} for a, b in spans], "refs": used}] if spans else []
         return pa.Table.from_pylist(rows, kinds)
 
-    out = settle(runs.groupBy("doc_id").applyInArrow(merge, "doc_id long, spans array<struct<first:long,n:long>>, refs array<long>"), "passages")
+    out = settle(runs.groupBy(*_KEY).applyInArrow(merge, "doc_id long, tag long, spans array<struct<first:long,n:long>>, refs array<long>"), "passages")
     forget(shared, found, codes)
     return out
 
@@ -360,10 +383,11 @@ def repeated_passages(
 def repeats_by_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: ``doc_id, n_passages, n_repeated, spans, refs`` (empty lists where nothing repeats)."""
     found = repeated_passages(docs, doc_id, text, **options)
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
+    own, tag = _identified(doc_id, text)
+    ids = docs.select(F.col(doc_id).cast("long").alias("own_id"), own.alias("doc_id"), tag.alias("tag"))
     spans = F.coalesce("spans", F.array().cast("array<struct<first:long,n:long>>"))
-    return ids.join(found, "doc_id", "left").select(
-        "doc_id",
+    return ids.join(found, list(_KEY), "left").select(
+        F.col("own_id").alias("doc_id"),
         F.size(spans).cast("long").alias("n_passages"),
         F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["n"]).alias("n_repeated"),
         spans.alias("spans"),
@@ -378,8 +402,9 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     it, or to the end. ``length``, where there is such a column, is counted anew
     for texts that changed. All rows and columns stay.
     """
-    found = repeated_passages(docs, doc_id, text, **options).select(F.col("doc_id").alias("__of"), F.col("spans").alias("__spans"))
-    joined = docs.join(found.hint("merge"), docs[doc_id].cast("long") == F.col("__of"), "left")
+    found = repeated_passages(docs, doc_id, text, **options).select(F.struct("doc_id", "tag").alias(_OF), F.col("spans").alias(_SPANS))
+    own, tag = _identified(doc_id, text)
+    joined = docs.join(found.hint("merge"), F.struct(own.alias("doc_id"), tag.alias("tag")) == F.col(_OF), "left")
     columns = docs.columns
     at = columns.index(text)
 
@@ -387,21 +412,19 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
         kind = byte_class("letters")
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for n, spans in enumerate(batch.column("__spans").to_pylist()):
+            for n, spans in enumerate(batch.column(_SPANS).to_pylist()):
                 if spans:
                     raw = np.frombuffer(texts[n].encode(), np.uint8)
                     words = Words(raw, np.array([0, len(raw)]), kind)
                     keep = np.ones(len(raw), dtype=bool)
                     for s in spans:
                         end = s["first"] + s["n"]
-                        if s["first"] >= len(words.start):  # another text under the same id
-                            continue
                         keep[words.start[s["first"]] : words.start[end] if end < len(words.start) else len(raw)] = False
                     texts[n] = raw[keep].tobytes().decode()
             out = batch.select(columns)
             yield out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
 
-    out = joined.select(*columns, "__spans").mapInArrow(cut, docs.schema)
+    out = joined.select(*columns, _SPANS).mapInArrow(cut, docs.schema)
     if length in columns:
         out = out.withColumn(length, F.when(F.col(text).isNotNull(), F.char_length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return out

@@ -62,6 +62,41 @@ def test_fuzzy_passages_of_one_seed_are_aligned(docs_of):
     assert [i for i in shared if not 50 <= found[i] <= 60] == []
 
 
+def test_scattered_pieces_do_not_hide_a_passage(docs_of):
+    """Every five words of a passage stand in an earlier short document; two later documents share all of it."""
+    words = [f"p{n}" for n in range(200)]
+    rows = [(n, " ".join(words[n : n + 5])) for n in range(196)] + [(1000 + n, f"{'a b c'.split()[n]} " + " ".join(words)) for n in range(2)]
+    found = {row.doc_id: row.n_repeated for row in chaining.repeats_by_document(docs_of(rows)).collect()}
+    assert found[1001] >= 195
+
+
+def test_texts_of_one_id_are_documents_of_their_own(docs_of):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    shared = fresh(120)
+    texts = [" ".join(x) for x in (fresh(30) + shared, fresh(400), shared + fresh(40), fresh(50) + shared, fresh(70), shared)]
+    rows = list(zip([1, 5, 5, None, None, None], texts, strict=True))
+    got = sorted((r.text, r.n_chars) for r in chaining.cut_repeats(docs_of(rows)).collect())
+    want = [texts[0], texts[1], " ".join(texts[2].split()[120:]), " ".join(texts[3].split()[:50]) + " ", texts[4], ""]
+    assert got == sorted((t, len(t)) for t in want)
+
+
+def test_recall_of_fuzzy_passages(docs_of):
+    """Of passages of 60 to 200 words, every 20th word or so changed, in a corpus with common phrases, at least 0.9 are found."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrases = [fresh(5) for _ in range(40)]
+    rows, hidden = [], []
+    for n in range(150):
+        passage = [w for _ in range(rng.randint(3, 10)) for w in [*fresh(15), *rng.choice(phrases)]]
+        changed = [w if rng.random() > 0.05 else fresh(1)[0] for w in passage]
+        rows += [(2 * n, " ".join(fresh(30) + passage + fresh(30))), (2 * n + 1, " ".join(fresh(30) + changed + fresh(30)))]
+        hidden.append((2 * n + 1, len(passage)))
+    found = {row.doc_id: row.n_repeated for row in chaining.repeats_by_document(docs_of(rows)).collect()}
+    assert np.mean([found[i] >= 0.8 * n for i, n in hidden]) >= 0.9
+    assert not any(found[2 * n] for n in range(150))
+
+
 def test_a_fuzzy_passage_is_found_beside_thin_matches():
     """60 words at identity 0.9, then two common phrases of five words, 8 words apart."""
     fuzzy = [i % 10 != 5 for i in range(60)]
