@@ -13,16 +13,20 @@ among those that either text has.
 Texts are dealt once, by ranges of ids, with one ghost row per range (the first
 row of the next one), so the next document is a neighbour in the same range and
 everything after that shuffle stays in place: windows, the broadcast join and
-the grouping by row all use the same partitioning.
+the grouping by row all use the same partitioning. The ranges end at quantiles of
+the ids, so they hold about as many rows wherever the ids lie; an id that fills
+several ranges (or the rows without an id) is spread over them by a hash of the text.
 
 Edge cases: null text is empty; a null id comes last in descending order; rows
-with equal ids are ordered by text; repeated rows are documents of their own;
-extra columns are ignored; an empty table gives an empty result.
+with equal ids are ordered by a hash of their text, then by text; repeated rows
+are documents of their own; a very long text has as many terms as it has
+different words; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,23 +57,49 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, lexicons: int
     return band.select("term", kept.alias("subsets")).filter(F.size("subsets") > 0)
 
 
+def _ranged(docs: DataFrame) -> DataFrame:
+    """Adds ``hash`` and ``range``, which does not fall as (id, hash) rises; null ids are the lowest."""
+    size, n, null = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    ranges = int(min(MOST_RANGES, max(1, -(-(size or 0) // RANGE_BYTES))))
+    array = lambda xs, kind: F.from_json(F.lit(json.dumps(xs)), f"array<{kind}>")
+    bounds = []
+    if ranges > 1 and n > null:
+        cuts = F.percentile_approx("doc_id", array([x / ranges for x in range(1, ranges)], "double"), 4 * ranges)
+        bounds = docs.agg(cuts.alias("cuts")).first()["cuts"] or []  # fewer than MOST_RANGES numbers
+    # A bound that is there several times is an id that fills several ranges.
+    often = Counter(bounds)
+    kinds = sorted(often)
+    parts = [max(1, -(-ranges * null // max(1, n))), *(often[b] for b in kinds)]
+    begin = [0]
+    for p in parts:
+        begin.append(begin[-1] + p + 1)
+    at = F.lit(0)
+    if kinds:  # the number of bounds at or below the id, by binary search
+        steps = [1 << x for x in reversed(range(len(kinds).bit_length()))]
+        known = array(kinds, "bigint")
+        below = lambda acc, step: (acc + step <= len(kinds)) & (F.try_element_at(known, acc + step) <= F.col("doc_id"))
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda acc, step: F.when(below(acc, step), acc + step).otherwise(acc))
+    docs = docs.withColumn("hash", F.xxhash64("text")).withColumn("_at", at)
+    share = F.col("hash").cast("double") / 2.0**64 + 0.5
+    of = lambda xs, kind="int": F.element_at(array(xs, kind), F.col("_at") + 1)
+    hot = (of([0, *kinds], "bigint") == F.col("doc_id")) & (F.col("_at") > 0) & (of(parts) > 1)
+    sub = lambda many: F.least(F.floor(share * many), many - 1)
+    known = F.when(hot, of(begin) + sub(of(parts))).otherwise(of(begin) + of(parts))
+    return docs.withColumn("range", F.when(F.col("doc_id").isNull(), sub(F.lit(parts[0]))).otherwise(known).cast("int")).drop("_at")
+
+
 def _neighbours(docs: DataFrame) -> DataFrame:
     """``range, place, ghost, doc_id, text, next_text`` in descending order of ids; ghosts close each range."""
-    spark = docs.sparkSession
-    lo, hi, size, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    ranges = int(min(MOST_RANGES, max(1, -(-(size or 0) // RANGE_BYTES))))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // ranges))
-    docs = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)), F.lit(-1)).cast("int"))
-    # The first row of each range, at most MOST_RANGES + 1 of them, and the range above it that needs it.
-    firsts = sorted(tuple(r) for r in docs.groupBy("range").agg(F.max("doc_id").alias("first")).collect())
-    needed = [{"_range": r, "_first": first, "_to": firsts[(at + 1) % len(firsts)][0]} for at, (r, first) in enumerate(firsts)]
-    ghosts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(needed)), "array<struct<_range:int,_first:long,_to:int>>")))
-    extra = (
-        docs.join(F.broadcast(ghosts), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-        .select("doc_id", "text", F.col("_to").alias("range"), F.lit(True).alias("ghost"))
-    )
-    both = docs.select("doc_id", "text", "range", F.lit(False).alias("ghost")).unionAll(extra)
-    order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    docs = _ranged(docs)
+    # The first row of each range, at most 2 * MOST_RANGES + 2 of them, and the range above it that needs it.
+    firsts = docs.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("first"))
+    order = Window.orderBy("range")  # of a row for each range
+    to = F.coalesce(F.lead("range").over(order), F.min("range").over(order))
+    ghosts = firsts.select(F.col("range").alias("_range"), F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"), to.alias("_to"))
+    found = docs.join(F.broadcast(ghosts), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    extra = found.groupBy(F.col("_to").alias("range")).agg(F.max("doc_id").alias("doc_id"), F.max("hash").alias("hash"), F.max("text").alias("text"))
+    both = docs.select("doc_id", "hash", "text", "range", F.lit(False).alias("ghost")).unionAll(extra.select("doc_id", "hash", "text", "range", F.lit(True)))
+    order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc())
     return both.select("range", F.row_number().over(order).alias("place"), "ghost", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
 
 
@@ -111,8 +141,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lo
         "range", "place", "ghost", "doc_id", F.char_length("text").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         F.explode_outer(
             F.array(
-                F.struct(F.lit(False).alias("is_edited"), F.left(F.md5("text"), F.lit(8)).alias("whole"), F.concat(F.array(F.lit("")), terms(F.col("text"))).alias("terms")),
-                F.struct(F.lit(True).alias("is_edited"), F.left(F.md5("edited"), F.lit(8)).alias("whole"), F.concat(F.array(F.lit("")), terms(F.col("edited"))).alias("terms")),
+                F.struct(F.lit(False).alias("is_edited"), F.md5("text").alias("whole"), F.concat(F.array(F.lit("")), terms(F.col("text"))).alias("terms")),
+                F.struct(F.lit(True).alias("is_edited"), F.md5("edited").alias("whole"), F.concat(F.array(F.lit("")), terms(F.col("edited"))).alias("terms")),
             )
         ).alias("t"),
     )

@@ -111,7 +111,7 @@ x as (select doc_id, nid, text, left(text, length(text) - length(text) // 3) ||
 l as (select term, md5(term) digest from f, (select count(*) n from d) c where df >= {imatch.LOW} * n and df <= {imatch.HIGH} * n),
 t as (select doc_id, 0 k, text s from x union all select doc_id, 1, edited from x), tt as (select doc_id, k, unnest({terms("s")}) term from t),
 g as (select t.doc_id, t.k, any_value(t.s) s, concat_ws('.', {components}) p from t left join tt on t.doc_id = tt.doc_id and t.k = tt.k left join l on tt.term = l.term group by t.doc_id, t.k),
-fp as (select doc_id, k, case when p = '{empty}' then left(md5(s), 8) || p else p end p from g)
+fp as (select doc_id, k, case when p = '{empty}' then md5(s) || p else p end p from g)
 select x.doc_id, length(x.text)::bigint as n_chars, sha256(x.edited) as edited_sha256, a.p as fingerprint, b.p as edited_fingerprint, {like("string_split(a.p, '.')", "string_split(b.p, '.')")} as near_edited, {like("string_split(a.p, '.')", "string_split(c.p, '.')")} as near_next
 from x join fp a on a.doc_id = x.doc_id and a.k = 0 join fp b on b.doc_id = x.doc_id and b.k = 1 join fp c on c.doc_id = x.nid and c.k = 0"""
 

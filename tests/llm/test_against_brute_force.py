@@ -291,6 +291,29 @@ def test_equal_texts_and_near_texts(spark, docs_of):
     assert np.mean([got[n]["near_edited"] for n in range(60)]) > np.mean([got[n]["near_next"] for n in range(1, 60)]) + 0.1
 
 
+@pytest.mark.parametrize("kind", ["far", "one apart", "hot", "null", "mixed"])
+def test_neighbours(spark, docs_of, monkeypatch, kind):
+    """Ranges of a few rows each, whatever the ids; the next document is that of the descending order."""
+    rng = random.Random(6)
+    ids = {
+        "far": [2**63 - 1, -(2**63), *(rng.randrange(-(2**63), 2**63) for _ in range(100))],
+        "one apart": [2**60, *range(100)],
+        "hot": [7] * 60 + list(range(40)),
+        "null": [None] * 60 + list(range(40)),
+        "mixed": [None, None, 3, 3, 3, 3, -1, 2**62],
+    }[kind]
+    rows = [(i, f"text {n} " + "x" * rng.randint(5, 40)) for n, i in enumerate(ids)]
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 300)
+    docs = docs_of(rows).select("doc_id", "text")
+    ranged = imatch._ranged(docs)
+    if len(rows) > 50:
+        assert ranged.groupBy("range").count().agg(F.max("count")).first()[0] <= 30
+    hashed = sorted(ranged.select("doc_id", "hash", "text", "range").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash, r.text), reverse=True)
+    assert [r.range for r in hashed] == sorted((r.range for r in hashed), reverse=True)
+    want = sorted((a.text, b.text) for a, b in zip(hashed, hashed[1:] + hashed[:1], strict=True))
+    assert sorted((r.text, r.next_text) for r in imatch._neighbours(docs).filter("not ghost").collect()) == want
+
+
 # ------------------------------------------------------------------ op7
 
 
