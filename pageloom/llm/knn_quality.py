@@ -17,9 +17,13 @@ share of good votes, with a little of the overall share mixed in, is the score.
 
 Edge cases: null and empty texts have no features; their vector is that of the
 centre's mirror and is compared like any other, so they get a score too. Labels
-that are null are not learnt from; several labels of one id all count.
-Repeated rows get equal scores. With no labelled row, or one class only, the
-score is the share of good labels (0.5 without any).
+that are null are not learnt from; several labels of one id all count, and so do
+several texts (of the labelled texts at most ``2 * sample``, those with the smallest
+hashes). Repeated rows get equal scores: similarities are compared to the fifth
+digit, and of equally near neighbours those come first that come first in order
+of their features. A very long text is one row of features. With no labelled row,
+or one class only, the score is the share of good labels (0.5 without any); an
+empty table gives an empty result; extra columns are ignored, by :func:`accepted` carried.
 """
 
 from __future__ import annotations
@@ -122,9 +126,10 @@ class Model:
         if self.trained:
             k = min(self.k, len(self.labels))
             for at in range(0, len(rows), block):
-                near = self.unit(rows[at : at + block]) @ self.vectors.T
-                best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                vote = np.maximum(np.take_along_axis(near, best, axis=1), 0).astype(np.float64) ** self.power
+                near = np.rint(self.unit(rows[at : at + block]) @ self.vectors.T * 1e5).astype(np.int64)
+                rank = np.arange(len(self.labels)) - near * len(self.labels)  # different for all, so the order has no ties
+                best = np.sort(np.argpartition(rank, k - 1, axis=1)[:, :k], axis=1)
+                vote = (np.maximum(np.take_along_axis(near, best, axis=1), 0) / 1e5) ** self.power
                 out[at : at + block] = ((vote * self.labels[best]).sum(axis=1) + 0.01 * self.prior) / (vote.sum(axis=1) + 0.01)
         return np.clip(out, 0.0, 1.0)
 
@@ -144,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "row"])
                 at = hi
 
-    got = sorted(((r, lab) for lab, r in rows.select("label", "text").mapInArrow(extract, "label int, row binary").limit(2 * sample).collect()), key=lambda x: (bytes(x[0]), x[1]))
+    found = rows.select("label", "text").mapInArrow(extract, "label int, row binary").orderBy(F.xxhash64("row"), "row", "label").limit(2 * sample)  # the bound matters only where ids repeat
+    got = sorted(((r, lab) for lab, r in found.collect()), key=lambda x: (bytes(x[0]), x[1]))
     x = np.array([np.frombuffer(r, np.float16) for r, _ in got], dtype=np.float32).reshape(-1, SIZE)
     return Model(x, np.array([lab for _, lab in got], dtype=np.float32), rank, k, power)
 
