@@ -325,6 +325,33 @@ def test_held_out_accuracy(spark):
     assert got.predicted[got.quality == 1].mean() > 0.99 and got.predicted[got.quality == 0].mean() < 0.1
 
 
+def test_votes_of_all_neighbours(spark):
+    """The scores of the query on sf0.001 are those of a plain vote over all labelled vectors, sorted in full."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = knn_quality.fit(docs, knn_quality.training_labels(labels))
+    got = {r["doc_id"]: r["score"] for r in knn_quality.quality(docs, labels).collect()}
+    for n, text in docs.select("doc_id", "text").collect():
+        (own,) = model.unit(knn_quality.features(*common.text_bytes(pa.array([text]))))
+        near = [round(float(own @ v), 5) for v in model.vectors]
+        best = sorted(range(len(near)), key=lambda i: (-near[i], i))[: model.k]
+        vote = [max(near[i], 0) ** model.power for i in best]
+        want = (sum(v * model.labels[i] for v, i in zip(vote, best, strict=True)) + 0.01 * model.prior) / (sum(vote) + 0.01)
+        assert got[n] == pytest.approx(want, abs=2e-3)
+
+
+def test_equal_neighbours_and_repeated_rows(docs_of):
+    """Of equally near neighbours the same ones vote, wherever a row stands in a block."""
+    rows = [(n, "good " * 20 if n % 3 else "bad! " * 20) for n in range(90)] + [(90 + n, f"other {n} words") for n in range(700)] + [(1000 + n, "so so " * 9) for n in range(5)]
+    labels = docs_of([]).sparkSession.createDataFrame([(n, int(n % 2)) for n in range(90)], "doc_id long, quality int")
+    model = knn_quality.fit(docs_of(rows), labels)
+    for order in (rows, rows[::-1]):
+        got = {}
+        for r in knn_quality.score(docs_of(order), model).collect():
+            got.setdefault(dict(rows)[r["doc_id"]], set()).add(r["score"])
+        assert all(len(x) == 1 for x in got.values())
+
+
 def test_scores_ignore_other_columns(spark, docs_of):
     rows = [(n, ("Good words stand here. " if n % 2 else "BAD!! WORDS!! ") * (3 + n % 5)) for n in range(60)]
     labels = spark.createDataFrame([(n, n % 2) for n in range(60)], "doc_id long, quality int")
@@ -350,6 +377,35 @@ def test_blocks_of_the_benchmark(spark, docs_of):
     assert {r["doc_id"] for r in decontam.clean_documents(docs_of(rows), benchmark, block_bytes=300).collect()} == {n for n in range(40) if n % 2 == 0}
 
 
+@pytest.mark.parametrize("block_bytes", [40, 300, 16 << 20])
+def test_hits_are_those_of_a_plain_search(spark, docs_of, block_bytes):
+    """Few different words, equal ids, null ids, repeated and overlapping items: as a search word by word, whatever the blocks."""
+    rng = random.Random(14)
+    some = lambda n: " ".join(rng.choice(["a", "a", "a", "b", "B", "c", f"d{n}"]) for _ in range(n))
+    items = [(n, some(rng.choice([1, 2, 9, 10, 11, 30]))) for n in range(14)] + [(100, "a " * 400), (101, "a " * 400), (None, "c c"), (7, ""), (8, None)]
+    rows = [(rng.choice([None, 5, 6, n]), some(rng.choice([0, 3, 11, 60])) + rng.choice(["", " " + items[n % 14][1]])) for n in range(60)] + [(5, "a " * 2000), (5, None), (7, "q r s")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def plain(text):
+        words, hit, found = WORD.findall(lower(text or "")), set(), set()
+        for i, t in items:
+            own = WORD.findall(lower(t or ""))
+            for a in range(max(1, len(own) - 9) if own else 0):
+                w = own[a : a + 10]
+                for p in range(len(words) - len(w) + 1):
+                    if words[p : p + len(w)] == w:
+                        hit |= set(range(p, p + len(w)))
+                        found.add(str(i))
+        return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+    key = lambda i, values: (i is not None, i or 0, *values)
+    # An item without an id has no name in SQL either; here it is called None.
+    got = decontam.contamination(docs_of(rows), benchmark, block_bytes=block_bytes).collect()
+    assert sorted(key(r["doc_id"], (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"])) for r in got) == sorted(key(i, plain(t)) for i, t in rows)
+    kept = decontam.clean_documents(docs_of(rows), benchmark, block_bytes=block_bytes).collect()
+    assert sorted((r["text"] or "") for r in kept) == sorted((t or "") for _, t in rows if not plain(t)[1])
+
+
 # ------------------------------------------------------------------ op9
 
 
