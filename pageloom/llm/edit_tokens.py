@@ -7,16 +7,20 @@ counts of segments add up to the count of the text, and a segment's count
 depends on nothing outside it. Segments have about ``LEAF`` characters.
 
 Each document keeps its segments' lengths and token counts in a sum tree (a
-binary tree laid out in an array). An edit finds the segments it touches by
-descending the length sums, takes one segment more on each side as boundary
-context, cuts that stretch anew and encodes only it. Where the number of
-segments stays the same the changed leaves and the sums above them are updated
-in place; otherwise the tree is rebuilt from the leaf counts, without encoding.
+binary tree laid out in an array, some of whose leaves are empty). An edit finds
+the segments it touches by descending the length sums, takes one segment more on
+each side as boundary context, cuts that stretch anew and encodes only it. The
+new segments take the leaves of the old ones; if they are more, the smallest
+subtree that has room is spread out evenly, and only it and the sums above it are
+changed (log squared of the leaves for each added segment, on average). A tree
+without room gets twice the leaves.
 
 Edge cases: a null text is empty; an edit beyond the end is moved to the end; a
 null replacement is empty; edits are applied in order of ``seq``, each to the
 text that the one before left; documents without edits keep their counts; an
-edit of an unknown document has no effect; repeated rows are counted alike.
+edit of an unknown document has no effect; edits with equal ``seq`` are ordered by
+their places; repeated rows are counted alike; a very long text is held whole, with
+its tree; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,50 +51,58 @@ def segments(text: str, leaf: int = LEAF) -> list[str]:
 
 
 class SumTree:
-    """Sums over leaves in an array; node ``i`` has the children ``2i`` and ``2i + 1``."""
-
-    def __init__(self, leaves: list[int]):
-        self.n = len(leaves)
-        self.width = 1
-        while self.width < max(1, self.n):
-            self.width *= 2
-        self.sums = np.zeros(2 * self.width, dtype=np.int64)
-        self.sums[self.width : self.width + self.n] = leaves
-        level = self.width
-        while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
-            level //= 2
+    """Sums of length, tokens and occupied leaves; node ``i`` has the children ``2i`` and ``2i + 1``."""
+
+    def __init__(self, lengths: list[int], tokens: list[int]):
+        self.width = 1 << max(0, len(lengths) - 1).bit_length()
+        self.sums = np.zeros((2 * self.width, 3), dtype=np.int64)
+        self.put(0, lengths, tokens, [1] * len(lengths))
+        self.above(0, self.width)
 
     @property
-    def total(self) -> int:
-        return int(self.sums[1])
+    def length(self) -> int:
+        return int(self.sums[1, 0])
 
-    def change(self, leaf: int, value: int) -> None:
-        i = self.width + leaf
-        by = value - self.sums[i]
-        while i:
-            self.sums[i] += by
-            i //= 2
+    @property
+    def tokens(self) -> int:
+        return int(self.sums[1, 1])
+
+    def put(self, at: int, *columns) -> None:
+        to = self.width + at + len(columns[0])
+        for i, c in enumerate(columns):
+            self.sums[self.width + at : to, i] = c
+
+    def above(self, lo: int, hi: int) -> None:
+        """Sum up anew over the leaves from ``lo`` to ``hi``."""
+        left, right = self.width + lo, self.width + hi - 1
+        while left > 1:
+            left, right = left // 2, right // 2
+            pairs = self.sums[2 * left : 2 * right + 2]
+            self.sums[left : right + 1] = pairs[::2] + pairs[1::2]
 
     def find(self, place: int) -> tuple[int, int]:
-        """The leaf that holds ``place`` (beyond the end: the last) and the sum before it."""
-        place, i, before = min(place, self.total - 1), 1, 0
+        """The leaf that holds ``place`` (beyond the end: the last) and the length before it."""
+        place, i, before = min(place, self.length - 1), 1, 0
         while i < self.width:
             i *= 2
-            if place - before >= self.sums[i]:
-                before += int(self.sums[i])
+            if place - before >= self.sums[i, 0]:
+                before += int(self.sums[i, 0])
                 i += 1
         return i - self.width, before
 
+    def used(self, lo: int, hi: int) -> int:
+        """Occupied leaves from ``lo`` to ``hi``."""
+        return int(self.sums[self.width + lo : self.width + hi, 2].sum())
+
 
 class CountedText:
-    """A text with its segments and their sum trees of lengths and tokens."""
+    """A text with its segments and their sum tree; an empty leaf has no segment."""
 
     def __init__(self, text: str, count, leaf: int = LEAF):
-        self.count, self.leaf, self.encoded = count, leaf, 0
-        self.parts = segments(text, leaf)
-        self.lengths = SumTree([len(p) for p in self.parts])
-        self.tokens = SumTree(self._counts(self.parts))
+        self.count, self.leaf, self.encoded, self.moved = count, leaf, 0, 0
+        parts = segments(text, leaf)
+        self.tree = SumTree([len(p) for p in parts], self._counts(parts))
+        self.parts = parts + [""] * (self.tree.width - len(parts))
 
     def _counts(self, parts: list[str]) -> list[int]:
         self.encoded += sum(map(len, parts))
@@ -98,32 +110,56 @@ class CountedText:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the characters from ``start`` to ``end``."""
-        size = self.lengths.total
+        size = self.tree.length
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
-        if not self.parts:
+        if not size:
             self._replace(0, 0, new)
             return
-        first, before = self.lengths.find(start)
-        last, last_before = self.lengths.find(max(start, end - 1))
-        lo, hi = max(0, first - 1), min(len(self.parts), last + 2)
-        head, tail = self.parts[first][: start - before], self.parts[last][end - last_before :]
-        touched = "".join(self.parts[lo:first]) + head + new + tail + "".join(self.parts[last + 1 : hi])
+        first, before = self.tree.find(start)
+        last, last_before = self.tree.find(max(start, end - 1))
+        after = last_before + len(self.parts[last])
+        lo = self.tree.find(before - 1)[0] if before else first
+        hi = (self.tree.find(after)[0] if after < size else last) + 1
+        touched = "".join(self.parts[lo:first]) + self.parts[first][: start - before] + new + self.parts[last][end - last_before :] + "".join(self.parts[last + 1 : hi])
         self._replace(lo, hi, touched)
 
     def _replace(self, lo: int, hi: int, text: str) -> None:
-        parts = segments(text, self.leaf)
-        counts = self._counts(parts)
-        if len(parts) == hi - lo:
-            for n, (p, c) in enumerate(zip(parts, counts, strict=True)):
-                self.lengths.change(lo + n, len(p))
-                self.tokens.change(lo + n, c)
-            self.parts[lo:hi] = parts
+        """Segments of ``text`` instead of the leaves from ``lo`` to ``hi``."""
+        new = segments(text, self.leaf)
+        counts, tree = self._counts(new), self.tree
+        size, levels, more = 1, max(1, tree.width.bit_length() - 1), len(new) - tree.used(lo, hi)
+
+        def room() -> bool:
+            base, most = lo // size * size, size * (1 - min(levels, size.bit_length() - 1) / levels / 2)  # the larger a subtree, the emptier it must be
+            return hi <= base + size and tree.used(base, min(tree.width, base + size)) + more <= most
+
+        while len(new) > hi - lo and not room():
+            size *= 2
+        base = lo // size * size
+        to = min(tree.width, base + size)
+        if len(new) <= hi - lo:
+            base, to, size = lo, hi, hi - lo
+            entries = [(p, len(p), c) for p, c in zip(new, counts, strict=True)]
+            slots = list(range(len(new)))
         else:
-            kept = self.tokens.sums[self.tokens.width : self.tokens.width + self.tokens.n].tolist()
-            self.parts[lo:hi] = parts
-            self.lengths = SumTree([len(p) for p in self.parts])
-            self.tokens = SumTree(kept[:lo] + counts + kept[hi:])
+            old = lambda a, b: [(self.parts[i], *tree.sums[tree.width + i, :2].tolist()) for i in range(a, b) if tree.sums[tree.width + i, 2]]
+            entries = old(base, lo) + [(p, len(p), c) for p, c in zip(new, counts, strict=True)] + old(hi, to)
+            slots = [i * size // len(entries) for i in range(len(entries))]
+        self.moved += len(entries)
+        if size > tree.width:  # no room: more leaves
+            self.tree = tree = SumTree([], [])
+            tree.width, tree.sums, self.parts = size, np.zeros((2 * size, 3), dtype=np.int64), [""] * size
+            to = size
+        columns = np.zeros((3, to - base), dtype=np.int64)
+        placed = [""] * (to - base)
+        for slot, (p, n, c) in zip(slots, entries, strict=True):
+            placed[slot] = p
+            columns[:, slot] = n, c, 1
+        self.parts[base:to] = placed
+        tree.put(base, *columns)
+        if to > base:
+            tree.above(base, to)
 
     @property
     def text(self) -> str:
@@ -156,12 +192,12 @@ def count_with_edits(docs: DataFrame, edits: str = "edits", doc_id: str = "doc_i
             digest = []
             for body, changes in zip(batch.column("text"), batch.column("edits"), strict=True):
                 tree = CountedText(body.as_py(), count, leaf)
-                row = [tree.lengths.total, tree.tokens.total]
+                row = [tree.tree.length, tree.tree.tokens]
                 before = tree.encoded
                 steps = changes.as_py() or []
                 for s in steps:
                     tree.edit(s["start"] or 0, s["end"] or 0, s["new"] or "")
-                row += [len(steps), tree.lengths.total, tree.tokens.total, tree.encoded - before, len(tree.parts)]
+                row += [len(steps), tree.tree.length, tree.tree.tokens, tree.encoded - before, tree.tree.used(0, tree.tree.width)]
                 digest.append(hashlib.sha256(tree.text.encode()).hexdigest())
                 for pile, value in zip(out, row, strict=True):
                     pile.append(value)

@@ -194,6 +194,48 @@ def test_rates_meet_targets(spark, docs_of):
     assert np.mean([a == b for a, b in zip(right, want, strict=True)]) > 0.95
 
 
+def test_rates_and_posteriors_of_a_table(spark):
+    """Posteriors on sf0.001 are those of a plain naive Bayes; the rates meet the targets as well as nonnegative least squares can."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    domains, p = sorted(mixing.TARGETS), [f"p_{d}" for d in sorted(mixing.TARGETS)]
+    known = mixing.quality_domains(labels)
+    got = {r["doc_id"]: r for r in mixing.mix_documents(docs, known).collect()}
+    texts = dict(docs.select("doc_id", F.coalesce("text", F.lit(""))).collect())
+    bucket = {(w, end): b for w, end, b in spark.createDataFrame(sorted({w for t in texts.values() for w in re.split(mixing.SPACE, t) if w}), "string").select(
+        "value", F.lit(False), F.pmod(F.hash(F.rtrim(F.lower("value"), F.lit(".,;:!?"))), F.lit(mixing.BUCKETS))).collect()}
+    bucket |= {(e, True): b for e, b in spark.createDataFrame(sorted({w[-3:] for w, _ in bucket}), "string").select("value", F.pmod(F.hash("value", F.lit(7)), F.lit(mixing.BUCKETS))).collect()}
+    features = {n: [b for w in re.split(mixing.SPACE, t) if w for b in (bucket[w, False], bucket[w[-3:], True])] for n, t in texts.items()}
+    size, count = np.zeros(len(domains)), np.zeros((len(domains), mixing.BUCKETS))
+    for n, d in known.filter("domain is not null").collect():
+        if n in features:
+            size[domains.index(d)] += 1
+            count[domains.index(d), sorted(set(features[n]))] += 1
+    like = np.log((count + mixing.ALPHA) / (count.sum(axis=1, keepdims=True) + mixing.ALPHA * mixing.BUCKETS))
+    prior = np.log((size + mixing.ALPHA) / (size.sum() + mixing.ALPHA * len(domains)))
+    for n, f in features.items():
+        odds = prior - prior[0] + mixing.SOFT / (mixing.SOFT + len(f) / 2) * (like - like[0])[:, f].sum(axis=1)
+        want = np.exp(odds - odds.max()) / np.exp(odds - odds.max()).sum()
+        assert np.allclose([got[n][c] for c in p], want, atol=1e-6), n
+    # The squared error that a plain projected gradient, one number for each document, comes to after many steps.
+    tokens = np.array([r["n_tokens"] for r in got.values()], dtype=float)
+    member = np.array([[r[c] for c in p] for r in got.values()]) * tokens[:, None] / tokens.sum()
+    target, rate = np.array([mixing.TARGETS[d] for d in domains]), np.ones(len(tokens))
+    for _ in range(20_000):
+        rate = np.maximum(0, rate - member @ (member.T @ rate - target) / np.linalg.norm(member, 2) ** 2)
+    least = np.linalg.norm(member.T @ rate - target)
+    assert np.linalg.norm(member.T @ np.array([r["rate"] for r in got.values()]) - target) <= least + 1e-6
+
+
+def test_targets_out_of_reach_are_approached(spark):
+    """Documents of two domains only, a target for a third: the closed solution of least squares on the two."""
+    rng = random.Random(4)
+    rows = [(n, rng.randint(1, 50), a, 1 - a, 0.0) for n, a in enumerate(rng.random() for _ in range(200))]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    _, reached = mixing.fit_rates(members, ["p0", "p1", "p2"], [0.5, 0.3, 0.2])
+    assert np.allclose(reached, [0.5, 0.3, 0.0], atol=1e-6)
+
+
 # ------------------------------------------------------------------ op5
 
 
@@ -415,12 +457,24 @@ def test_counts_after_edits(text, edits, leaf):
     count = edit_tokens.counter()
     whole = lambda t: count([t])[0] if t else 0
     tree = edit_tokens.CountedText(text, count, leaf)
-    assert tree.tokens.total == whole(text)
+    assert tree.tree.tokens == whole(text)
     for start, n, new in edits:
         start = min(start, len(text))
         text = text[:start] + new + text[min(start + n, len(text)) :]
         tree.edit(start, start + n, new)
-        assert tree.text == text and tree.tokens.total == whole(text) and tree.lengths.total == len(text)
+        assert tree.text == text and tree.tree.tokens == whole(text) and tree.tree.length == len(text)
+
+
+def test_added_segments_move_few_others():
+    """4,000 insertions at one place of a long text: each moves some leaves, not all."""
+    tree = edit_tokens.CountedText("word " * 20_000, lambda parts: [len(p) for p in parts], 16)
+    segments = tree.tree.used(0, tree.tree.width)
+    want = "word " * 20_000
+    for n in range(4000):
+        tree.edit(50_000, 50_000, f" added {n} words here")
+        want = want[:50_000] + f" added {n} words here" + want[50_000:]
+    assert tree.text == want and tree.tree.length == len(want) == tree.tree.tokens
+    assert tree.tree.used(0, tree.tree.width) > segments + 3000 and tree.moved < 4000 * 200
 
 
 def test_edit_table(spark, docs_of):
