@@ -21,7 +21,9 @@ alphabetical order).
 Edge cases: a null url or one without ``://`` has an empty host and path and is
 judged like any other host; labels that are null are not counted; repeated rows
 count each; extra columns are ignored; with no label at all everything that no
-rule judges is allowed.
+rule judges is allowed. A very long url is one with many segments, judged by those
+that ``support`` paths reach; an empty table gives an empty result; a share that
+is just at the threshold is allowed.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import settle
+from pageloom.llm.common import forget, settle
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 DEPTH, SUPPORT, LEAST_LABELS, Z2, PRIOR, THRESHOLD = 3, 20, 8, 3.84, 10.0, 0.7
@@ -74,19 +76,27 @@ def _deepest(pages: DataFrame, url: str, depth: int, support: int) -> int:
 
 
 def templates(shapes: DataFrame, depth: int = DEPTH, support: int = SUPPORT) -> DataFrame:
-    """Templates for a table of shapes ``(host, s0.., n, labelled, good)``: adds ``t0..``."""
+    """Templates for a table of shapes ``(host, s0.., n, labelled, good)``, which is settled: adds ``t0..``.
+
+    Each level is settled, so the plan does not grow with the depth, and both
+    sides of its join are plain tables, so that a host with very many shapes can be split.
+    """
     out = shapes
     for level in range(depth):
         above = ["host", *(f"t{i}" for i in range(level))]
         key = [*above, f"s{level}"]
-        often = out.groupBy(*key).agg(F.sum("n").alias("_n"))
+        often = settle(out.groupBy(*key).agg(F.sum("n").alias("_n")), "often")
         names = {c: f"_{c}" for c in key}
         renamed = often.select(*(F.col(c).alias(n) for c, n in names.items()), "_n")
         same = F.lit(True)
         for c, n in names.items():
             same = same & F.col(c).eqNullSafe(F.col(n))
-        out = out.join(renamed, same).withColumn(f"t{level}", F.when(F.col("_n") >= support, F.col(f"s{level}")).otherwise(F.when(F.col(f"s{level}").isNotNull(), "*"))).drop(*names.values(), "_n")
-    return out.withColumnRenamed(f"s{depth}", f"t{depth}")
+        named = out.join(renamed, same).withColumn(f"t{level}", F.when(F.col("_n") >= support, F.col(f"s{level}")).otherwise(F.when(F.col(f"s{level}").isNotNull(), "*"))).drop(*names.values(), "_n")
+        if level == depth - 1:
+            named = named.withColumnRenamed(f"s{depth}", f"t{depth}")
+        before, out = out, settle(named, "templates")
+        forget(before, often)
+    return out
 
 
 def _purity(tree: DataFrame, depth: int, least: int, z2: float, prior: float) -> DataFrame:
@@ -95,7 +105,7 @@ def _purity(tree: DataFrame, depth: int, least: int, z2: float, prior: float) ->
     counts = [F.sum("labelled").alias("l"), F.sum("good").alias("g")]
     total = tree.agg(F.sum("labelled").alias("l"), F.sum("good").alias("g")).select(((F.coalesce("g", F.lit(0)) + 1) / (F.coalesce("l", F.lit(0)) + 1)).alias("q"))
     root = total.first()["q"]
-    above = None
+    above, done = None, []
     for n in range(1, len(levels) + 1):
         key, up = levels[:n], levels[: n - 1]
         at = tree.groupBy(*key).agg(*counts)
@@ -105,7 +115,8 @@ def _purity(tree: DataFrame, depth: int, least: int, z2: float, prior: float) ->
             at = at.join(above, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in up]).drop(*(f"_{c}" for c in up))
         expected = F.col("l") * F.col("q_up")
         apart = (F.col("l") >= least) & (F.pow(F.col("g") - expected, 2) > z2 * F.greatest(expected * (1 - F.col("q_up")), F.lit(1e-9)))
-        at = at.withColumn("own", apart)
+        at = settle(at.withColumn("own", apart), "branches")
+        done.append(at)
         merged = at.groupBy(*up, "own", "q_up") if up else at.groupBy("own", "q_up")
         pool = merged.agg(F.sum("l").alias("pl"), F.sum("g").alias("pg")).filter("not own")
         same = F.lit(True)
@@ -120,7 +131,9 @@ def _purity(tree: DataFrame, depth: int, least: int, z2: float, prior: float) ->
         at = at.withColumn("q", (good + prior * F.col("q_up")) / (labelled + prior))
         above = at.select(*(F.col(c).alias(f"_{c}") for c in key), F.col("q").alias("q_up"))
         leaf = at
-    return leaf.select(*levels, F.col("l").alias("n_labelled"), F.col("q").alias("purity"))
+    out = settle(leaf.select(*levels, F.col("l").alias("n_labelled"), F.col("q").alias("purity")), "purity")
+    forget(*done)
+    return out
 
 
 def judge_urls(
@@ -140,7 +153,7 @@ def judge_urls(
     key = F.regexp_extract("path", r"([0-9]+)", 1)
     known = base.select("host", *s, F.when(key != "", key).cast("decimal(38,0)").cast("long").alias("url_key")).join(labels.select("url_key", "good"), "url_key", "left")
     shapes = known.groupBy("host", *s).agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    tree = settle(templates(settle(shapes, "shapes"), depth, support), "templates")
+    tree = templates(settle(shapes, "shapes"), depth, support)
     t = [f"t{n}" for n in range(depth + 1)]
     purity = _purity(tree, depth, least_labels, z2, prior)
     verdicts = tree.select("host", *s[:-1], *t).withColumn(s[-1], F.col(t[-1]))
@@ -149,6 +162,8 @@ def judge_urls(
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     verdicts = verdicts.join(purity.select(*(F.col(c).alias(f"_{c}") for c in ["host", *t]), "n_labelled", "purity"), same)
     named = verdicts.select(*(F.col(c).alias(f"_{c}") for c in ["host", *s]), F.concat(F.col("host"), F.lit("/"), F.concat_ws("/", *t)).alias("template"), "n_labelled", "purity")
+    named = settle(named, "verdicts")
+    forget(tree, purity)
     on = F.lit(True)
     for c in ["host", *s]:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
