@@ -25,8 +25,8 @@ The log-probabilities then go back to the buckets that asked.
 *Base.* A word model with added counts, over the whole vocabulary, on the same way.
 
 Edge cases: a null text is empty and is coded as its end alone; repeated rows
-score alike; ties cannot arise, every number is a sum; a very long text is a
-bucket of its own and its runs are counted in slices; with no training text the
+score alike; ties cannot arise, every number is a sum; a very long text is
+counted and scored in pieces; with no training text the
 model is uniform and the base has only its added counts; an empty table gives an
 empty result; extra columns are ignored.
 """
@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import _LOWER, Words, byte_class, crc_of, doc_slices, forget, settle, text_bytes, text_column
 
 ORDER, NEAR = 5, 3
-#: A bucket's text: as large as memory for its different runs allows, smaller where there would be fewer buckets than partitions.
-BUCKET_BYTES, LEAST_BUCKET_BYTES = 32 << 20, 4 << 20
+#: A bucket's text (the larger, the fewer runs and words are asked for more than once), and what is worked on at a time.
+BUCKET_BYTES, PIECE = 64 << 20, 1 << 20
 BITS, START, END, SYMBOLS = 9, 0, 257, 257
 CODES = SYMBOLS + 1
 WORD, RUN = 0, 1
@@ -56,6 +56,29 @@ def _mask(symbols: int) -> int:
     return (1 << BITS * symbols) - 1
 
 
+def _packed(s: np.ndarray, order: int) -> np.ndarray:
+    out = s[: len(s) - order].copy()
+    for j in range(1, order + 1):
+        out <<= _U(BITS)
+        out |= s[j : len(s) - order + j]
+    return out
+
+
+def pieces(buf: np.ndarray, off: np.ndarray, order: int):
+    """``lo, hi, runs, begin`` of slices of the documents; a long document comes in several."""
+    for lo, hi in doc_slices(off, PIECE):
+        if off[hi] - off[lo] <= 2 * PIECE:
+            yield lo, hi, *runs(buf, off[lo : hi + 1], order)
+            continue
+        first, last = int(off[lo]), int(off[hi])  # one document
+        for a in range(first, last, PIECE):
+            b = min(a + PIECE, last)
+            head = _LOWER[buf[max(first, a - order) : a]].astype(_U) + _U(1)
+            s = np.concatenate([np.full(order - len(head), START, _U), head, _LOWER[buf[a:b]].astype(_U) + _U(1), np.full(int(b == last), END, _U)])
+            got = _packed(s, order)
+            yield lo, hi, got, np.array([0, len(got)])
+
+
 def runs(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """All runs of ``order + 1`` symbols, packed, and where each document's runs begin."""
     n = np.diff(off)
@@ -65,9 +88,7 @@ def runs(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.n
     raw = buf[off[0] : off[-1]]
     s[np.arange(len(raw)) - (off[home] - off[0]) + begin[home] + order] = _LOWER[raw].astype(_U) + _U(1)
     s[begin[1:] - 1] = END
-    packed = s[: len(s) - order].copy()
-    for j in range(1, order + 1):
-        packed = (packed << _U(BITS)) | s[j : len(s) - order + j]
+    packed = _packed(s, order)
     keep = np.ones(len(packed), dtype=bool)
     for j in range(order):  # runs that would reach into the next document
         keep[begin[1:-1] - 1 - j] = False
@@ -278,7 +299,7 @@ class _Tally:
     def add(self, keys: np.ndarray, *weights: np.ndarray) -> None:
         code, different = pd.factorize(keys)
         self.parts.append((np.asarray(different, dtype=_U), *(np.bincount(code, w, len(different)).astype(np.int64) for w in weights)))
-        if sum(len(p[0]) for p in self.parts) > max(2 * self.kept, 1 << 20):
+        if sum(len(p[0]) for p in self.parts) > max(2 * self.kept, 1 << 19):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, ...]:
@@ -313,10 +334,10 @@ def _asked(docs: DataFrame, order: int) -> DataFrame:
                     at, tallies = here, (_Tally(), _Tally())
                 buf, off = text_bytes(part.column("text"))
                 weights = [part.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("learn", "aside")]
-                for lo, hi in doc_slices(off):
+                for lo, hi in doc_slices(off, PIECE):
                     w = Words(buf, off[lo : hi + 1], solid)
                     tallies[WORD].add(w.hash, *(np.repeat(x[lo:hi], np.diff(w.bound)) for x in weights))
-                    packed, begin = runs(buf, off[lo : hi + 1], order)
+                for lo, hi, packed, begin in pieces(buf, off, order):
                     tallies[RUN].add(packed, *(np.repeat(x[lo:hi], np.diff(begin)) for x in weights))
         if at is not None:
             yield from handed()
@@ -338,13 +359,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     """
     if not NEAR <= order <= 6:
         raise ValueError("order is from 3 to 6")
-    spark = docs.sparkSession
     learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     docs = docs.select(F.col(doc_id).alias("doc_id"), text_column(text).alias("text"), learn.alias("learn"))
     kind_id = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("learn"), 1))).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, ends = max(1, -(-(size[0] or 0) // bucket_bytes), min(parts, -(-(size[0] or 0) // LEAST_BUCKET_BYTES))), size[1]
+    buckets, ends = max(1, -(-(size[0] or 0) // bucket_bytes)), size[1]
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     asked = settle(_asked(docs, order), "asked")
     totals = settle(asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside")), "totals")
@@ -372,12 +391,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
                     known = []
                     for own in pile:
                         k, v = (np.concatenate([np.zeros(0, t), *(x[i] for x in own)]) for i, t in enumerate((_U, np.float64)))
+                        own.clear()
                         rank = np.argsort(k)
                         known.append((k[rank], v[rank]))
-                    pile = None
                 buf, off = text_bytes(part.column("text"))
-                tokens, seen_in, base, model = [], [], [], []
-                for lo, hi in doc_slices(off):
+                tokens, seen_in, base, model = [], [], [], np.zeros(part.num_rows)
+                for lo, hi in doc_slices(off, PIECE):
                     w = Words(buf, off[lo : hi + 1], solid)
                     where, there = _found(known[WORD][0], w.hash)
                     c = np.where(there, known[WORD][1][where], 0.0) if len(w.hash) else np.zeros(0)
@@ -387,10 +406,10 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
                     tokens.append(np.diff(w.bound) + 1)
                     seen_in.append(seen[w.bound[1:]] - seen[w.bound[:-1]] + (ends > 0))
                     base.append(np.where(empty, 0.0, np.add.reduceat(logs, w.bound[:-1])) + last)
-                    packed, begin = runs(buf, off[lo : hi + 1], order)
+                for lo, hi, packed, begin in pieces(buf, off, order):
                     code, distinct = pd.factorize(packed)
                     slot = np.searchsorted(known[RUN][0], np.asarray(distinct, dtype=_U))  # all are there: the bucket asked for them
-                    model.append(np.add.reduceat(known[RUN][1][slot][code], begin[:-1]))
+                    model[lo:hi] += np.add.reduceat(known[RUN][1][slot][code], begin[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -399,7 +418,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
                         pa.array(np.concatenate(seen_in)),
                         pa.array(np.full(part.num_rows, total)),
                         pa.array(np.concatenate(base)),
-                        pa.array(np.concatenate(model)),
+                        pa.array(model),
                     ],
                     ["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )

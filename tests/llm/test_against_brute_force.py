@@ -107,6 +107,22 @@ class Plain:
         return sum(math.log10(self.probability(s[i - self.order : i], s[i])) for i in range(self.order, len(s)))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(texts, min_size=1, max_size=6), st.integers(1, 40), st.integers(3, 6))
+def test_pieces_of_long_texts(batch, size, order):
+    buf, off = common.text_bytes(pa.array(batch, pa.string()))
+    want, begin = ppm.runs(buf, off, order)
+    before, ppm.PIECE = ppm.PIECE, size
+    try:
+        got = [[] for _ in batch]
+        for lo, hi, packed, at in ppm.pieces(buf, off, order):
+            for d in range(lo, hi):
+                got[d] += packed[at[d - lo] : at[d - lo + 1]].tolist()
+    finally:
+        ppm.PIECE = before
+    assert got == [want[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
 @pytest.mark.parametrize("order", [3, 4, 5])
 def test_probabilities(docs_of, order):
     rng = random.Random(3)
