@@ -36,7 +36,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +102,12 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return k[first], *(np.add.reduceat(c[rank], first) if len(first) else c for c in counts)
 
 
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the number of each key among them, by hashing."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each wanted key is in the sorted keys, and whether it is there."""
     if not len(keys):
@@ -297,8 +302,8 @@ class _Tally:
         self.parts, self.kept = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
 
     def add(self, keys: np.ndarray, *weights: np.ndarray) -> None:
-        code, different = pd.factorize(keys)
-        self.parts.append((np.asarray(different, dtype=_U), *(np.bincount(code, w, len(different)).astype(np.int64) for w in weights)))
+        different, code = _different(keys)
+        self.parts.append((different, *(np.bincount(code, w, len(different)).astype(np.int64) for w in weights)))
         if sum(len(p[0]) for p in self.parts) > max(2 * self.kept, 1 << 19):
             self.merge()
 
@@ -407,8 +412,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
                     seen_in.append(seen[w.bound[1:]] - seen[w.bound[:-1]] + (ends > 0))
                     base.append(np.where(empty, 0.0, np.add.reduceat(logs, w.bound[:-1])) + last)
                 for lo, hi, packed, begin in pieces(buf, off, order):
-                    code, distinct = pd.factorize(packed)
-                    slot = np.searchsorted(known[RUN][0], np.asarray(distinct, dtype=_U))  # all are there: the bucket asked for them
+                    distinct, code = _different(packed)
+                    slot = np.searchsorted(known[RUN][0], distinct)  # all are there: the bucket asked for them
                     model[lo:hi] += np.add.reduceat(known[RUN][1][slot][code], begin[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
