@@ -3,8 +3,9 @@
 1. *Seeds.* Words are hashed; of all runs of ``k`` words in every window of
    ``w`` runs the one with the smallest hash is kept, so two documents that
    share ``w + k - 1`` words in a row share a seed. Three such runs that follow
-   each other make a long seed (some 20 words): common phrases shadow short
-   seeds the more, the larger the corpus is, and long ones not.
+   each other make a long seed (some 20 words), of which in turn the smallest of
+   every ``LONG_W`` in a row are kept: common phrases shadow short seeds the more,
+   the larger the corpus is, and long ones not.
 2. *Join.* The first place of a seed, by (document, word), is its reference. A
    grouped minimum finds it, so a seed that a third of all documents have is
    pre-aggregated before the shuffle; other documents' places of the seed are
@@ -45,6 +46,7 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import Words, byte_class, doc_slices, forget, settle, shingle_hashes, text_bytes, text_column
 
 K, W = 5, 16
+LONG_K, LONG_W = 3, 3
 MIN_WORDS, IDENTITY = 50, 0.8
 MAX_GAP = 40
 GAP_COST = 0.25
@@ -229,8 +231,8 @@ def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
                 short = shingle_hashes(words.hash, k)[at]
                 home = np.searchsorted(words.bound, at, "right") - 1
                 place = (tags[lo + home] << 32) | (at - words.bound[home])
-                whole = np.flatnonzero(home[:-2] == home[2:]) if len(at) > 2 else np.zeros(0, np.int64)
-                names = np.concatenate([short, ~shingle_hashes(short, 3)[whole]])
+                whole = minimizers(short, np.searchsorted(at, words.bound), LONG_K, LONG_W)
+                names = np.concatenate([short, ~shingle_hashes(short, LONG_K)[whole]])
                 rank = np.concatenate([np.arange(len(at)), whole])
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), ids.take(pa.array(lo + home[rank])), pa.array(place[rank])], ["seed", "doc_id", "place"])
 
@@ -258,21 +260,7 @@ def _candidates(matches: DataFrame, k: int) -> DataFrame:
                 group.append(m)
 
     def chain(batches):
-        rest = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                t = pa.Table.from_batches([batch])
-                rest = t if rest is None else pa.concat_tables([rest, t])
-                if not rest.num_rows:
-                    continue
-                ids, tags = (rest.column(c).to_numpy() for c in _KEY)
-                other = (ids != ids[-1]) | (tags != tags[-1])  # the last document may go on in the next batch
-                done = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
-            else:
-                done = rest.num_rows if rest is not None else 0
-            if not done:
-                continue
-            part, rest = rest.slice(0, done), rest.slice(done)
+        for part in _documents(batches):
             ids, tags = (part.column(c).to_numpy() for c in _KEY)
             cuts = (np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1).tolist()
             found = list(zip(*(part.column(c).to_pylist() for c in ("word", "ref", "ref_place")), strict=True))
@@ -288,9 +276,21 @@ def _candidates(matches: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(chain, "doc_id long, tag long, ref long, ref_tag long, d array<array<long>>, r array<array<long>>")
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def _documents(batches):
+    """Tables of whole documents, from rows sorted by document."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        if not rest.num_rows:
+            continue
+        ids, tags = (rest.column(c).to_numpy() for c in _KEY)
+        other = np.flatnonzero((ids != ids[-1]) | (tags != tags[-1]))  # the last document may go on in the next batch
+        if len(other):
+            yield rest.slice(0, int(other[-1]) + 1)
+            rest = rest.slice(int(other[-1]) + 1)
+    if rest is not None and rest.num_rows:
+        yield rest
 
 
 def _codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -322,9 +322,7 @@ def repeated_passages(
     own, tag = _identified(doc_id, text)
     docs = docs.select(own.alias("doc_id"), tag.alias("tag"), text_column(text).alias("text"))
     seeds = _seeds(docs, k, w)
-    of = lambda c: F.struct(F.col(f"{c}.doc_id").alias("ref"), F.shiftright(F.col(f"{c}.place"), 32).alias("ref_tag"))
-    place = F.struct("doc_id", "place")
-    shared = seeds.groupBy("seed").agg(F.min(place).alias("at"), F.max(place).alias("last")).filter(of("at") != of("last"))
+    shared = seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Settled, so that the join below has a plain exchange on either side and hot seeds can be split.
     shared = settle(shared.select("seed", F.col("at.doc_id").alias("ref"), F.col("at.place").alias("ref_place")), "seeds")
     matches = seeds.join(shared, "seed").select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("word"), "ref", "ref_place")
@@ -358,24 +356,36 @@ def repeated_passages(
 
     runs = both.mapInArrow(align, "doc_id long, tag long, ref long, first array<long>, n array<long>")
 
-    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:  # at most the words of one document, several times over
-        t = t.filter(pc.greater(pc.list_value_length(t.column("n")), 0))
-        per = pc.list_value_length(t.column("n")).to_numpy()
-        first, n = (pc.list_flatten(t.column(c)).to_numpy() for c in ("first", "n"))
-        refs = np.repeat(t.column("ref").to_numpy(), per)
-        hit = np.zeros(int((first + n).max()) if len(n) else 0, dtype=bool)
-        for a, b in zip(first, n, strict=True):
-            hit[a : a + b] = True
-        spans = passages(hit, min_words, identity)
-        inside = np.zeros(len(hit), dtype=bool)
-        for a, b in spans:
-            inside[a : a + b] = True
-        used = sorted({int(x) for x, a in zip(refs, first, strict=True) if inside[a]})
-        kinds = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))), ("refs", pa.list_(pa.int64()))])
-        rows = [{"doc_id": key[0].as_py(), "tag": key[1].as_py(), "spans": [{"first": a, "n": b} for a, b in spans], "refs": used}] if spans else []
-        return pa.Table.from_pylist(rows, kinds)
-
-    out = settle(runs.groupBy(*_KEY).applyInArrow(merge, "doc_id long, tag long, spans array<struct<first:long,n:long>>, refs array<long>"), "passages")
+    def merge(batches):  # a document's runs are at most its words, several times over
+        for t in _documents(batches):
+            ids, tags = (t.column(c).to_numpy() for c in _KEY)
+            of_row = np.append(0, np.cumsum((np.diff(ids) != 0) | (np.diff(tags) != 0)))
+            rows = np.repeat(np.arange(t.num_rows), pc.list_value_length(t.column("n")).to_numpy())
+            first, n = (pc.list_flatten(t.column(c)).to_numpy() for c in ("first", "n"))
+            size = np.zeros(of_row[-1] + 1, dtype=np.int64)
+            np.maximum.at(size, of_row[rows], first + n)
+            base = np.append(0, np.cumsum(size + 32))  # documents one after another, too far apart for one passage
+            at = base[of_row[rows]] + first
+            open_ = np.bincount(at, minlength=base[-1] + 1) - np.bincount(at + n, minlength=base[-1] + 1)
+            spans = passages(np.cumsum(open_) > 0, min_words, identity)
+            inside = np.zeros(base[-1] + 1, dtype=bool)
+            for a, b in spans:
+                inside[a : a + b] = True
+            of_span = np.searchsorted(base, [a for a, _ in spans], "right") - 1
+            used = np.flatnonzero(inside[at])
+            refs: dict[int, set] = {}
+            for d, ref in zip(of_row[rows[used]].tolist(), t.column("ref").to_numpy()[rows[used]].tolist(), strict=True):
+                refs.setdefault(d, set()).add(ref)
+            found: dict[int, list] = {}
+            for d, (a, b) in zip(of_span.tolist(), spans, strict=True):
+                found.setdefault(d, []).append({"first": a - int(base[d]), "n": b})
+            head = np.searchsorted(of_row, list(found)) if found else np.zeros(0, np.int64)
+            kinds = (pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])), pa.list_(pa.int64()))
+            values = (list(found.values()), [sorted(refs[d]) for d in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(tags[head]), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], [*_KEY, "spans", "refs"])
+
+    merged = runs.filter(F.size("n") > 0).repartition(*_KEY).sortWithinPartitions(*_KEY)
+    out = settle(merged.mapInArrow(merge, "doc_id long, tag long, spans array<struct<first:long,n:long>>, refs array<long>"), "passages")
     forget(shared, found, codes)
     return out
 
