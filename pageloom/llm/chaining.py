@@ -14,7 +14,7 @@
    texts. With linear gap costs the best predecessor is a prefix maximum, which
    a Fenwick tree over the reference positions gives.
 4. *Alignment.* The words of both sides around a chain are fetched (only of
-   documents that take part, as 32-bit codes) and aligned by extending matches
+   documents that take part, as 24-bit codes) and aligned by extending matches
    along diagonals across edits. What is repeated is the union over references.
    A passage is lost only if its short seeds and also its long ones first stand
    in other documents that hold parts of it and together cover too little of it.
@@ -47,6 +47,7 @@ from pageloom.llm.common import Words, byte_class, doc_slices, forget, settle, s
 
 K, W = 5, 16
 LONG_K, LONG_W = 3, 3
+CODE = 3
 MIN_WORDS, IDENTITY = 50, 0.8
 MAX_GAP = 40
 GAP_COST = 0.25
@@ -293,8 +294,15 @@ def _documents(batches):
         yield rest
 
 
+def _read(codes: bytes) -> np.ndarray:
+    raw = np.frombuffer(codes, np.uint8).reshape(-1, CODE)
+    wide = np.zeros((len(raw), 4), np.uint8)
+    wide[:, :CODE] = raw
+    return wide.view("<u4").ravel()
+
+
 def _codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Word codes (4 bytes each) of the wanted documents."""
+    """Word codes (``CODE`` bytes each) of the wanted documents."""
 
     def code(batches):
         kind = byte_class("letters")
@@ -303,7 +311,7 @@ def _codes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for lo, hi in doc_slices(off):
                 words = Words(buf, off[lo : hi + 1], kind)
-                small = (words.hash >> np.uint64(32)).astype(np.uint32)
+                small = words.hash.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
                 out += [small[a:b].tobytes() for a, b in zip(words.bound[:-1], words.bound[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(out, pa.binary())], [*_KEY, "codes"])
 
@@ -328,13 +336,14 @@ def repeated_passages(
     matches = seeds.join(shared, "seed").select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("word"), "ref", "ref_place")
     matches = matches.filter((F.col("doc_id") != F.col("ref")) | (F.col("tag") != F.shiftright("ref_place", 32)))
     found = settle(_candidates(matches, k), "chains")
+    forget(shared)
     wanted = found.select(*_KEY).unionAll(found.select("ref", "ref_tag")).distinct()
     codes = settle(_codes(docs, wanted).dropDuplicates(list(_KEY)), "codes")
 
     margin = min_words + w + k
     low = lambda c: F.greatest(F.lit(0), F.array_min(F.flatten(c)) - margin)
     span = lambda c: F.array_max(F.flatten(c)) + k + margin - low(c)
-    cut = lambda c: F.substring("codes", 4 * low(c) + 1, 4 * span(c))
+    cut = lambda c: F.substring("codes", CODE * low(c) + 1, CODE * span(c))
     there = found.join(codes.toDF("ref", "ref_tag", "codes"), ["ref", "ref_tag"]).select(*_KEY, "ref", "d", "r", cut("r").alias("y"))
     both = there.join(codes, list(_KEY)).select(*_KEY, "ref", "d", "r", "y", cut("d").alias("x"), low("d").alias("d0"), low("r").alias("r0"))
 
@@ -342,7 +351,7 @@ def repeated_passages(
         for batch in batches:
             first, n = [], []
             for row in batch.to_pylist():
-                x, y = (np.frombuffer(row[c], np.uint32) for c in "xy")
+                x, y = (_read(row[c]) for c in "xy")
                 hit = np.zeros(len(x), dtype=bool)
                 for d, r in zip(row["d"], row["r"], strict=True):
                     d = [i - row["d0"] for i in d]
@@ -386,7 +395,7 @@ def repeated_passages(
 
     merged = runs.filter(F.size("n") > 0).repartition(*_KEY).sortWithinPartitions(*_KEY)
     out = settle(merged.mapInArrow(merge, "doc_id long, tag long, spans array<struct<first:long,n:long>>, refs array<long>"), "passages")
-    forget(shared, found, codes)
+    forget(found, codes)
     return out
 
 
