@@ -66,22 +66,25 @@ def excerpt(c, n: int = 180) -> Column:
 _MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 
 
+BYLINE_CUTS = [
+    (r"\b[\w.+-]+@[\w.-]+\.[a-z]{2,}\b", " "),
+    (r"(?<!\w)@[\w.-]+", " "),
+    (r"https?://\S+", " "),
+    (r"^(?:written\s+by|authored\s+by|author\s*:|by\s*:?)\s*", ""),
+    (rf"\b{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?[,]?\s+\d{{4}}\b.*$", ""),
+    (r"\b\d+\s*(?:mins?|minutes?)\s+read\b.*$", ""),
+    (r"\s+[|•·]\s+.*$", ""),
+    (r"\s+(?:follow|connect|contact|email|subscribe)\b.*$", ""),
+    ("[<>]", ""),
+    (r"^[ ,;|·•()]+|[ ,;|·•()]+$", ""),
+    (r"\(\s*\)", ""),
+]
+
+
 def author_name(c) -> Column:
     """A byline without addresses, handles, lead-in, date, reading time and calls to follow."""
     out = clean_text(c)
-    for pattern, new in (
-        (r"\b[\w.+-]+@[\w.-]+\.[a-z]{2,}\b", " "),
-        (r"(?<!\w)@[\w.-]+", " "),
-        (r"https?://\S+", " "),
-        (r"^(?:written\s+by|authored\s+by|author\s*:|by\s*:?)\s*", ""),
-        (rf"\b{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?[,]?\s+\d{{4}}\b.*$", ""),
-        (r"\b\d+\s*(?:mins?|minutes?)\s+read\b.*$", ""),
-        (r"\s+[|•·]\s+.*$", ""),
-        (r"\s+(?:follow|connect|contact|email|subscribe)\b.*$", ""),
-        ("[<>]", ""),
-        (r"^[ ,;|·•()]+|[ ,;|·•()]+$", ""),
-        (r"\(\s*\)", ""),
-    ):
+    for pattern, new in BYLINE_CUTS:
         out = F.regexp_replace(out, f"(?iU){pattern}", new)
     return clean_text(out)
 

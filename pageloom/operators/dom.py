@@ -10,6 +10,7 @@ of numbers and needs no tree.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
 HIDDEN_TEXT = {"script", "style", "template"}
 MAX_PAGE_BYTES = 10 * 1024 * 1024
+TOO_LARGE = "Article HTML exceeds 10 MiB."
 _SPACE = re.compile(r"\s+")
 
 
@@ -234,6 +236,41 @@ def parse(html: str) -> Node:
     return builder.root
 
 
+class Layout:
+    """The nodes of a tree in document order, with the interval of each: ``nodes[at(n)]`` to ``nodes[last(n)]`` is ``n`` and all below it."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root, *root.walk()]
+        self._at = {id(n): i for i, n in enumerate(self.nodes)}
+        self._last = [*range(len(self.nodes))]
+        for i in range(len(self.nodes) - 1, 0, -1):
+            up = self._at[id(self.nodes[i].parent)]
+            self._last[up] = max(self._last[up], self._last[i])
+
+    def at(self, n: Node) -> int:
+        return self._at[id(n)]
+
+    def last(self, n: Node) -> int:
+        return self._last[self._at[id(n)]]
+
+
+class Zones:
+    """A union of intervals of a layout."""
+
+    def __init__(self, intervals):
+        self.begin, self.end = [], []
+        for a, z in sorted(intervals):
+            if self.end and a <= self.end[-1] + 1:
+                self.end[-1] = max(self.end[-1], z)
+            else:
+                self.begin.append(a)
+                self.end.append(z)
+
+    def hold(self, place: int) -> bool:
+        at = bisect.bisect_right(self.begin, place) - 1
+        return at >= 0 and place <= self.end[at]
+
+
 NODE_SCHEMA = "pre int, last int, parent int, depth int, sib int, kind string, tag string, attrs map<string,string>, text string, hidden boolean"
 _NODE = pa.struct(
     [("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("sib", pa.int32()), ("kind", pa.string()), ("tag", pa.string())]
@@ -270,7 +307,10 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
-    """The node table of all pages of at most ``max_bytes``; the size filter runs before any Python does."""
+    """The node table of all pages of at most ``max_bytes``; the size filter runs before any Python does.
+
+    Pages over the size, and null ones, have no nodes; :func:`left_out` tells which.
+    """
     fits = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).filter(F.octet_length("html") <= max_bytes)
 
     def explode(batches):
@@ -282,3 +322,14 @@ def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_by
                 yield pa.RecordBatch.from_arrays([ids, *table.flatten()], ["page_id", *(f.name for f in _NODE)])
 
     return spread(fits).mapInArrow(explode, f"page_id {fits.schema['page_id'].dataType.simpleString()}, {NODE_SCHEMA}")
+
+
+def too_large(html: str, max_bytes: int = MAX_PAGE_BYTES):
+    """Whether a page is over the size limit (null is not)."""
+    return F.coalesce(F.octet_length(html) > max_bytes, F.lit(False))
+
+
+def left_out(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
+    """``page_id, reason`` of the pages that :func:`nodes` gives no rows for."""
+    reason = F.when(too_large(html, max_bytes), F.lit(TOO_LARGE)).when(F.col(html).isNull(), F.lit("The page is missing."))
+    return pages.select(F.col(page_id).alias("page_id"), reason.alias("reason")).filter("reason is not null")
