@@ -90,8 +90,17 @@ def author_name(c) -> Column:
 
 
 def iso_date(c) -> Column:
-    """The local date of an ISO date or timestamp; null if there is none."""
-    return F.try_to_date(F.regexp_extract(clean_text(c), r"^\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd")
+    """The local date of an ISO date (extended, basic or by week) or timestamp; null if there is none."""
+    text = clean_text(c)
+    extended = F.try_to_date(F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd")
+    basic = F.try_to_date(F.regexp_extract(text, r"^(\d{8})(?:$|[T ]\d)", 1), "yyyyMMdd")
+    part = lambda n: F.coalesce(*(F.nullif(F.regexp_extract(text, p, n), F.lit("")) for p in (r"^(\d{4})-W(\d{2})-([1-7])(?:$|[T ]\d)", r"^(\d{4})W(\d{2})([1-7])(?:$|[T ]\d)"))).cast("int")
+    # The week that holds January 4 is the first; the last one holds December 28.
+    monday = lambda d: F.date_sub(d, F.weekday(d))
+    first, last = (monday(F.make_date(part(1), F.lit(m), F.lit(d))) for m, d in ((1, 4), (12, 28)))
+    start = F.date_add(first, 7 * (part(2) - 1))
+    by_week = F.when((part(2) >= 1) & (start <= last), F.date_add(start, part(3) - 1))
+    return F.coalesce(extended, basic, by_week)
 
 
 def distinct_in_order(values, order) -> Column:

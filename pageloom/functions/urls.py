@@ -71,8 +71,35 @@ def allowed_name(c) -> Column:
     )
 
 
+# Blocks of IPv4 addresses, and beginnings of IPv6 addresses, that are not public.
+PRIVATE_BLOCKS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "224.0.0.0/3", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "100.64.0.0/10")
+PRIVATE_IPV6 = r"^(::1|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:)"
+
+
+def browser_allowed(c) -> Column:
+    """The browser's own test, which is weaker than :func:`allowed_url`: any host name that isn't local, any address that isn't private."""
+    url = c if isinstance(c, Column) else F.col(c)
+    authority = F.regexp_extract(url, r"^(?i:https?)://([^/?#]*)", 1)
+    host = F.regexp_replace(F.lower(F.regexp_replace(authority, r":\d*$", "")), r"^\[|\]$|\.$", "")
+    octet = lambda n: F.coalesce(F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", n + 1).try_cast("long"), F.lit(-1))
+    number = octet(0) * 2**24 + octet(1) * 2**16 + octet(2) * 2**8 + octet(3)  # negative if the host is no IPv4 address
+    private = (host == "localhost") | host.rlike(PRIVATE_IPV6)
+    for suffix in LOCAL_SUFFIXES:
+        private = private | host.endswith(suffix)
+    for block in map(ipaddress.ip_network, PRIVATE_BLOCKS):
+        private = private | number.between(int(block.network_address), int(block.broadcast_address))
+    return F.coalesce((host != "") & ~authority.contains("@") & ~private, F.lit(False))
+
+
 def absolute_url(link, base) -> Column:
-    """A link made absolute; null unless it is http or https."""
+    """A link made absolute; null unless it is http or https. Python only sees links that :func:`rooted_url` can't settle."""
+    link, base = (x if isinstance(x, Column) else F.col(x) for x in (link, base))
+    rooted = rooted_url(link, base)
+    return F.coalesce(rooted, joined_url(F.when(rooted.isNull(), link), F.when(rooted.isNull(), base)))
+
+
+def joined_url(link, base) -> Column:
+    """A link made absolute by the rules for relative links; null unless it is http or https."""
 
     def one(url, start):
         try:
@@ -82,12 +109,16 @@ def absolute_url(link, base) -> Column:
             return None
 
     def join(links: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(links, bases, strict=True)], dtype="object")
+        return pd.Series([one(a, b) if a or b else None for a, b in zip(links, bases, strict=True)], dtype="object")
 
     return pandas_udf(join, "string")(link, base)
 
 
+_PLAIN = r"[A-Za-z0-9_~!$&'()*+,;=:@%/?#-]|\.(?!\.?(?:/|$|\?|#))"
+
+
 def rooted_url(link, base) -> Column:
-    """The same without Python for links that are absolute or begin with one slash; null for others."""
-    origin = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]*)", 1)
-    return F.when(link.rlike("^(?i)https?://"), link).when(link.rlike("^/(?!/)"), F.concat(origin, link))
+    """The same without Python for plain links that are absolute or begin with one slash, without dot segments; null for others."""
+    link, base = (x if isinstance(x, Column) else F.col(x) for x in (link, base))
+    origin = F.regexp_extract(base, r"^(https?://[A-Za-z0-9.:-]+)", 1)
+    return F.when(link.rlike(rf"^https?://[A-Za-z0-9.:-]+(?:/(?:{_PLAIN})*)?$"), link).when((origin != "") & link.rlike(rf"^/(?:(?!/)(?:{_PLAIN})+)?$"), F.concat(origin, link))

@@ -303,7 +303,10 @@ def rows(root: Node) -> list[dict]:
 def spread(rows: DataFrame) -> DataFrame:
     """Input with fewer partitions than there are cores is dealt out to all; larger input stays where it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if not rows.isStreaming and rows.rdd.getNumPartitions() < cores else rows
+    if rows.isStreaming:
+        return rows
+    parts = rows._jdf.queryExecution().toRdd().getNumPartitions()  # of the plan as it is, with no conversion of rows
+    return rows.repartition(cores) if parts < cores else rows
 
 
 def nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:

@@ -35,6 +35,12 @@ def has_class(name: str):
     return F.array_contains(F.split(attribute("class"), " "), name)
 
 
+def tracking():
+    """Whether an image is stated to be at most two pixels wide and high (a page's source states no other size)."""
+    side = lambda k: F.regexp_extract(attribute(k), r"^\s*(\d{1,9})", 1).try_cast("int")
+    return F.coalesce((side("width") > 0) & (side("width") <= 2) & (side("height") > 0) & (side("height") <= 2), F.lit(False))
+
+
 #: Content selectors in order of trust, as conditions on a node row.
 CONTENT = [
     lambda: F.col("tag") == "article",
@@ -91,8 +97,9 @@ def visible_text(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def scrubbed(nodes: DataFrame) -> DataFrame:
-    """Node rows of an inert snapshot: no scripts (but JSON-LD), styles, forms and SVG, no event handlers; ``src`` kept under a private name."""
-    gone = nodes.filter("kind = 'tag'").filter(F.col("tag").isin("style", "form", "svg", "source", "iframe", "object", "embed") | ((F.col("tag") == "script") & (attribute("type") != "application/ld+json")))
+    """Node rows of an inert snapshot: no scripts (but JSON-LD), styles, forms, SVG and tracking images, no event handlers; ``src`` kept under a private name."""
+    active = ("style", "noscript", "form", "input", "textarea", "button", "svg", "source", "iframe", "object", "embed")
+    gone = nodes.filter("kind = 'tag'").filter(F.col("tag").isin(*active) | ((F.col("tag") == "script") & (attribute("type") != "application/ld+json")) | ((F.col("tag") == "img") & tracking()))
     kept = within(nodes, gone.select("page_id", "pre", "last"), "left_anti")
     quiet = F.map_filter("attrs", lambda k, v: ~k.rlike("(?i)^on") & (k != "srcset"))
     return kept.withColumn("attrs", F.transform_keys(quiet, lambda k, v: F.when((F.col("tag") == "img") & (k == "src"), "data-source").otherwise(k)))
@@ -136,13 +143,13 @@ def nearby(blocks: DataFrame, key: str, order: str, tag: str, text: str, fixed:
     return blocks.withColumn("_said", said).withColumn("nearby", F.concat_ws(" ", F.lag("_said").over(w), F.lead("_said").over(w))).drop("_said")
 
 
-def cue_boundaries(blocks: DataFrame, key: str, order: str, text: str, kept: str | None = None) -> DataFrame:
-    """``key, boundary``: the first block that starts with a recommendation cue after 100 kept characters (null: none)."""
+def cue_boundaries(blocks: DataFrame, key: str, order: str, text: str, kept: str | None = None, cue: str = RECOMMENDATION_CUE.pattern) -> DataFrame:
+    """``key, boundary``: the first block that starts with a cue after 100 kept characters (null: none)."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     size = F.length(text) if kept is None else F.when(F.col(kept), F.length(text)).otherwise(0)
     seen = blocks.withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0)))
-    cue = F.col(text).rlike("(?i)" + RECOMMENDATION_CUE.pattern)
-    return seen.groupBy(key).agg(F.min(F.when((F.col("_before") >= MIN_BEFORE_CUE) & cue, F.col(order))).alias("boundary"))
+    found = F.col(text).rlike(f"(?i){cue}")
+    return seen.groupBy(key).agg(F.min(F.when((F.col("_before") >= MIN_BEFORE_CUE) & found, F.col(order))).alias("boundary"))
 
 
 def resolved_votes(votes: DataFrame, key: list[str], label: str) -> DataFrame:

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
 from pageloom.functions import urls as U
-from pageloom.operators import dom
+from pageloom.operators import captured, dom
 from pageloom.operators import preview
 from pageloom.operators import relational as R
 from pageloom.plans import fixtures
-from pageloom.plans.review import keep_all, review_articles
+from pageloom.plans.review import WORKERS, keep_all, review_articles
 from pageloom.plans.standard import Options, extract_articles
 from pageloom.sources import epub, inputs
 from pageloom.sources import requests as requests_
@@ -281,18 +281,16 @@ def nearby_W2(spark, sf_dir):
     return near.select("conv_id", "turn", F.trim("nearby").alias("nearby"))
 
 
+_CUE = r"^(the|and|read more|related (articles?|stories|content))\b"
+
+
 @query(
     f"""with b as (select doc_id, i, trim(l) t from ({_LINES})), c as (select *, coalesce(sum(length(t)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding),0) before from b)
 select doc_id, min(case when before >= 100 and regexp_matches(t, '(?i)^(the|and|read more|related (articles?|stories|content))\\b') then i end)::bigint as boundary from c group by doc_id"""
 )
 def boundaries_W3(spark, sf_dir):
     """The first line that starts with a cue after 100 characters, with cues that these texts have."""
-    from pyspark.sql import Window
-
-    lines = _lines(spark, sf_dir)
-    before = F.coalesce(F.sum(F.length("l")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cue = F.col("l").rlike(r"(?i)^(the|and|read more|related (articles?|stories|content))\b")
-    return lines.withColumn("before", before).groupBy("doc_id").agg(F.min(F.when((F.col("before") >= 100) & cue, F.col("i"))).cast("long").alias("boundary"))
+    return R.cue_boundaries(_lines(spark, sf_dir), "doc_id", "i", "l", cue=_CUE).select("doc_id", F.col("boundary").cast("long").alias("boundary"))
 
 
 _VOTE = "case turn % 5 when 0 then 'noise' when 1 then 'author' when 2 then 'title' when 3 then 'body' else 'subtitle' end"
@@ -321,7 +319,7 @@ def distinct_in_order_A6(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(T.distinct_in_order("role", "turn"), ", ").alias("roles"))
 
 
-@query("select row_number() over (order by page_id)::int as position, url, null::varchar as error from (select url, min(page_id) page_id from pages group by url) where true qualify row_number() over (order by page_id) <= 1000 union all select row_number() over (order by page_id)::int, url, 'Batch input exceeds 1000 unique articles.' from (select url, min(page_id) page_id from pages group by url) qualify row_number() over (order by page_id) > 1000")
+@query("select row_number() over (order by page_id)::int as position, url, null::varchar as error from (select url, min(page_id) page_id from pages group by url) where true qualify row_number() over (order by page_id) <= 1000 union all select null::int, url, 'Batch input exceeds 1000 unique articles.' from (select url, min(page_id) page_id from pages group by url) qualify row_number() over (order by page_id) > 1000")
 def url_list_S4(spark, sf_dir):
     """A list of addresses with repeats, comments and blanks."""
     pages = _pages(spark, sf_dir)
@@ -357,6 +355,154 @@ def packages_K1(spark, sf_dir):
     return epub.read_packages(epub.packages(extract_articles(_pages(spark, sf_dir), PLAIN))).select("page_id", "title", "author", "source_url", "error")
 
 
+# ---------------------------------------------------------------- limits, captures, packages, stores
+
+
+@query(
+    """with p as (select page_id, url, html from pages union all select * from (values (-1, 'http://h.com/1', repeat('x', 10485760)), (-2, 'http://h.com/2', repeat('x', 10485761)), (-3, 'http://h.com/3', repeat('é', 5242881)), (-4, 'http://h.com/4', null)) v(a, b, c))
+select page_id, coalesce(strlen(html) > 10485760, false) as standard, coalesce(strlen(html) > 10485760, false) as reviewed, case when strlen(html) > 10485760 then 'Article HTML exceeds 10 MiB.' when html is null then 'The page is missing.' end as without_nodes from p"""
+)
+def page_limits_P4(spark, sf_dir):
+    """Pages over 10 MiB have an error in either extraction, and the node table says which pages it leaves out."""
+    size = dom.MAX_PAGE_BYTES
+    added = [(-1, F.repeat(F.lit("x"), F.lit(size))), (-2, F.repeat(F.lit("x"), F.lit(size + 1))), (-3, F.repeat(F.lit("é"), F.lit(size // 2 + 1))), (-4, F.lit(None).cast("string"))]
+    pages = _pages(spark, sf_dir)
+    for n, html in added:
+        pages = pages.unionAll(spark.range(1).select(F.lit(n).cast("long"), F.lit(f"http://h.com/{-n}"), html))
+    large = lambda got: got.select("page_id", F.coalesce(F.col("error") == dom.TOO_LARGE, F.lit(False)).alias("large"))
+    both = large(extract_articles(pages, PLAIN)).withColumnRenamed("large", "standard").join(large(review_articles(pages, keep_all)).withColumnRenamed("large", "reviewed"), "page_id")
+    return both.join(dom.left_out(pages).withColumnRenamed("reason", "without_nodes"), "page_id", "left")
+
+
+_IMAGES = """select doc_id, '<div><img src="/i' || doc_id || '" class="' || case doc_id % 5 when 0 then 'avatar' when 1 then 'Site-Logo' else 'photo' end || '" width="' || doc_id % 4 || '" height="' || doc_id % 3 || '"><picture><source srcset="/s"><img data-src="/p' || doc_id || '" width="' || doc_id % 7 || '" height="1"></picture><p>t</p></div>' html from documents"""
+
+
+def _with_images(spark, sf_dir) -> DataFrame:
+    html = _IMAGES.split(" from documents")[0].removeprefix("select doc_id, ").removesuffix(" html")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.expr(html).alias("html"))
+
+
+_TINY = "(doc_id % 4 in (1, 2) and doc_id % 3 in (1, 2))"
+
+
+@query(
+    f"""with k as (select doc_id, unnest([case when not {_TINY} and doc_id % 5 > 1 then '/i' || doc_id end, case when doc_id % 7 not in (1, 2) then '/p' || doc_id end]) s, (doc_id % 7 not in (1, 2))::bigint f from documents)
+select doc_id as page_id, count(s)::bigint as images, coalesce(string_agg(s, ' ' order by s), '') as sources, max(f)::bigint as pictures from k group by doc_id"""
+)
+def captured_images_P18(spark, sf_dir):
+    """Pages as a capture keeps them, without decorative and tracking images and the pictures that hold them."""
+    left = captured.captured(dom.nodes(_with_images(spark, sf_dir)))
+    source = F.coalesce(F.nullif(R.attribute("src"), F.lit("")), R.attribute("data-src"))
+    kept = F.array_sort(F.collect_list(F.when(F.col("tag") == "img", source)))
+    return left.groupBy("page_id").agg(F.count(F.when(F.col("tag") == "img", 1)).alias("images"), F.array_join(kept, " ").alias("sources"), F.count(F.when(F.col("tag") == "picture", 1)).alias("pictures"))
+
+
+@query("select doc_id as page_id, unnest([1, 2]) as ordinal, unnest(['/i' || doc_id, '/p' || doc_id]) as source from documents")
+def paired_images_J7(spark, sf_dir):
+    """Images of a scrubbed clone with the sources of the page's, by ordinal."""
+    page = _with_images(spark, sf_dir)
+    bare = page.withColumn("html", F.regexp_replace("html", ' (data-)?src="[^"]*"', ""))
+    return captured.paired(dom.nodes(bare), dom.nodes(page)).select("page_id", "ordinal", "source")
+
+
+@query(f"select doc_id as page_id, (1 - {_TINY}::int + (doc_id % 7 not in (1, 2))::int)::bigint as images, 0::bigint as sources from documents")
+def tracking_pixels_S8(spark, sf_dir):
+    """Inert snapshots have no tracking images and no ``src``."""
+    left = R.scrubbed(dom.nodes(_with_images(spark, sf_dir)))
+    return left.groupBy("page_id").agg(F.count(F.when(F.col("tag") == "img", 1)).alias("images"), F.count(F.when((F.col("tag") == "img") & (R.attribute("src") != ""), 1)).alias("sources"))
+
+
+_HOSTS = ["10.1.2.3", "172.15.0.1", "172.31.255.255", "100.64.0.1", "100.128.0.1", "169.254.9.9", "223.255.255.255", "224.0.0.1", "8.8.8.8:80", "[::1]", "[2001:db8::1]:80", "[fd00::1]", "[fe9a::1]", "localhost", "a.home.arpa.", "printer.lan", "u@h.com", "plain", ""]
+_HOST_ROWS = ", ".join(f"('http://{h}/x')" for h in _HOSTS)
+
+
+@query(
+    rf"""with u as (select url from pages union all select * from (values {_HOST_ROWS}) v(url)), a as (select url, regexp_extract(url, '^https?://([^/?#]*)', 1) a from u),
+h as (select url, a, regexp_replace(regexp_replace(lower(regexp_replace(a, ':[0-9]*$', '')), '\.$', ''), '[\[\]]', '', 'g') h from a),
+q as (select *, regexp_matches(h, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') ip, try_cast(split_part(h, '.', 1) as int) x, try_cast(split_part(h, '.', 2) as int) y from h)
+select url, h <> '' and not contains(a, '@') and h <> 'localhost' and not regexp_matches(h, '\.(localhost|local|internal|lan|home|home\.arpa)$') and not regexp_matches(h, '^(::1|f[cd][0-9a-f][0-9a-f]:|fe[89ab][0-9a-f]:)')
+and not coalesce(ip and (x in (0, 10, 127) or x >= 224 or x = 169 and y = 254 or x = 172 and y between 16 and 31 or x = 192 and y = 168 or x = 100 and y between 64 and 127), false) as allowed from q"""
+)
+def browser_policy_P3(spark, sf_dir):
+    """The browser's own address test, by numbers of blocks."""
+    rows = _pages(spark, sf_dir).select("url").unionAll(spark.range(1).select(F.explode(F.array(*(F.lit(f"http://{h}/x") for h in _HOSTS))).alias("url")))
+    return rows.select("url", U.browser_allowed("url").alias("allowed"))
+
+
+@query(
+    """select o_orderkey, o_orderdate::date as extended, o_orderdate::date as basic, o_orderdate::date as by_week, null::date as no_date from orders"""
+)
+def date_forms_F5(spark, sf_dir):
+    """extended, basic and week dates and timestamps, read back."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    thursday = F.date_add(F.date_sub("d", F.weekday("d")), 3)  # its year is the week's
+    week = F.format_string("%04d-W%02d-%d", F.year(thursday), F.weekofyear("d"), F.weekday("d") + 1)
+    texts = {"extended": F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit("T23:59:00-05:00")), "basic": F.date_format("d", "yyyyMMdd"), "by_week": week, "no_date": F.date_format("d", "MMMM d, yyyy")}
+    return orders.select("o_orderkey", *(T.iso_date(c).alias(n) for n, c in texts.items()))
+
+
+@query(
+    f"""select page_id, 6::bigint as parts, 'mimetype' as first, 'application/epub+zip' as mimetype, {_COUNT.format(h=_BODY, t='p')} + 2 as paragraphs, ('urn:uuid:' || left(h,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab') || substr(h,18,3) || '-' || substr(h,21,12)) as id, 1::bigint as entries
+from (select *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) h from pages) pages where length({_PLAIN}) >= 100"""
+)
+def package_parts_K3(spark, sf_dir):
+    """What is in the packages: members in order, the article, the package document, the contents."""
+    parts = epub.parts(epub.packages(extract_articles(_pages(spark, sf_dir), PLAIN)))
+    text = lambda name: F.max(F.when(F.col("name") == name, F.col("text")))
+    rows = parts.groupBy("page_id").agg(F.count(F.lit(1)).alias("parts"), F.min_by("name", "position").alias("first"), text("mimetype").alias("mimetype"), text("OEBPS/article.xhtml").alias("a"), text("OEBPS/content.opf").alias("o"), text("OEBPS/nav.xhtml").alias("n"))
+    times = lambda c, mark: (F.size(F.split(c, mark)) - 1).cast("long")
+    return rows.select("page_id", "parts", "first", "mimetype", times("a", "<p[ >]").alias("paragraphs"), F.regexp_extract("o", "(urn:uuid:[0-9a-f-]+)", 1).alias("id"), times("n", "<li>").alias("entries"))
+
+
+_MADE = "'<title>Page ' || doc_id || '</title><body><article><h1>Page ' || doc_id || '</h1><h2>Part ' || doc_id || '</h2><p>' || repeat('Words of it. ', 20) || '</p><a href=\"/l' || doc_id || '\">more</a><img src=\"i' || doc_id || '.png\" alt=\"x\"><h3>End</h3></article><aside><p>beside</p></aside></body>'"
+
+
+def _made_pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.expr("'http://h.com/d/' || doc_id").alias("url"), F.expr(_MADE).alias("html"))
+
+
+@query("select doc_id as page_id, 'Page ' || doc_id as title, 'section-1 Part ' || doc_id || '; section-2 End' as headings, 'http://h.com/l' || doc_id as links, 'http://h.com/d/i' || doc_id || '.png' as images from documents")
+def article_lists_U6(spark, sf_dir):
+    """Headings, links and images of articles."""
+    got = extract_articles(_made_pages(spark, sf_dir))
+    said = F.transform("headings", lambda h: F.concat_ws(" ", h["id"], h["text"]))
+    return got.select("page_id", "title", F.array_join(said, "; ").alias("headings"), F.array_join("links", " ").alias("links"), F.array_join("images", " ").alias("images"))
+
+
+@query(
+    """with b as (select doc_id, 'false' e, unnest(['<h2>Part ' || doc_id || '</h2>', '<p>' || repeat('Words of it. ', 20) || '</p>', '<a href="http://h.com/l' || doc_id || '">more</a>', '<img alt="x" src="http://h.com/d/i' || doc_id || '.png"/>', '<h3>End</h3>']) h, generate_subscripts([1, 2, 3, 4, 5], 1) i from documents union all select doc_id, 'true', '<p>beside</p>', 6 from documents)
+select doc_id as page_id, 'Page ' || any_value(doc_id) as title, '<article>' || string_agg('<div data-block-excluded="' || e || '">' || h || '</div>', '' order by i) || '</article>' as html from b group by doc_id"""
+)
+def reviewed_copies_T7(spark, sf_dir):
+    """The copy that a review leaves: all blocks in order, excluded ones marked."""
+    return review_articles(_made_pages(spark, sf_dir), keep_all).select("page_id", "title", "html")
+
+
+_LOG = "select user_id, event_id, epoch_us(ts) t, event_type = 'purchase' starts, event_id % 3 generation from events"
+
+
+@query(f"with l as ({_LOG}), r as (select *, count(*) filter (where starts) over (partition by user_id order by t, event_id rows between unbounded preceding and current row) running from l) select user_id, event_id from r where not starts and generation = running")
+def current_answers_R7(spark, sf_dir):
+    """Answers of the generation that is running when they come."""
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"), F.when(F.col("event_type") == "purchase", "start").otherwise("answer").alias("kind"), (F.col("event_id") % 3).alias("generation"))
+    return jobs.current_answers(log, "user_id").select("user_id", "event_id")
+
+
+@query("select event_type, bool_and(value < 1000) as ok, bool_and(value < 50) as small from events group by event_type")
+def all_checks_A11(spark, sf_dir):
+    """A status that holds if all of its checks do."""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.every(F.col("value") < 1000).alias("ok"), F.every(F.col("value") < 50).alias("small"))
+
+
+@query(f"select page_id, {_TITLE} as title, case when length({_PLAIN}) >= 100 then 1 else 0 end as ok from pages")
+def few_workers_R4(spark, sf_dir):
+    """Two tasks for the standard mode give what any number gives."""
+    got = extract_articles(_pages(spark, sf_dir), PLAIN, workers=WORKERS["standard"])
+    titles = _pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("h"))
+    title = T.clean_text(F.replace(F.replace(F.regexp_replace("h", "<[^>]*>", " "), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")))
+    return got.join(titles, "page_id").select("page_id", F.coalesce("title", title).alias("title"), F.col("error").isNull().cast("int").alias("ok"))
+
+
 # ---------------------------------------------------------------- fixtures
 
 
@@ -369,7 +515,7 @@ def metadata_F2(spark, sf_dir):
 
 @query(fixtures.sql("rewrites"))
 def rewrites_T1(spark, sf_dir):
-    """What trimming, noise removal, formulas and sanitizing leave."""
+    """What trimming, noise removal, formulas and sanitizing leave."""
     got = extract_articles(fixtures.frame(spark, "rewrites"))
     return got.select("page_id", F.regexp_replace("html", "z{100}", "Z").alias("html"), F.array_join("warnings", "; ").alias("warnings"), "error")
 

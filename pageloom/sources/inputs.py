@@ -53,16 +53,18 @@ def url_list(lines: DataFrame, order: str = "line_no", line: str = "line") -> Da
     """Different addresses of a list in order of their first line: ``position, url, error``.
 
     Blank lines and comments are skipped. An address over the length limit is an
-    error, and so is every address after the thousandth; both are rows, not
-    exceptions.
+    error, and so is every address after the thousandth, which has no position;
+    both are rows, not exceptions.
     """
     url = F.regexp_replace(F.col(line), r"^(?U)\s+|(?U)\s+$", "")
     kept = lines.select(F.col(order).alias("line_no"), url.alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
     first = kept.groupBy("url").agg(F.min("line_no").alias("line_no"))
-    place = F.row_number().over(Window.orderBy("line_no"))  # a list, not a data set: at most a thousand entries are of use
-    numbered = first.withColumn("position", place)
-    error = F.when(F.length("url") > MAX_URL, f"Batch URL exceeds the {MAX_URL}-character limit.").when(F.col("position") > MAX_LIST, f"Batch input exceeds {MAX_LIST} unique articles.")
-    return numbered.select("position", "url", error.alias("error"))
+    # Only the first thousand have a position, so only they, a top-k, are numbered in one place.
+    place = F.row_number().over(Window.orderBy("line_no", "url"))
+    listed = first.orderBy("line_no", "url").limit(MAX_LIST).withColumn("position", place).select(F.col("url").alias("_url"), "position")
+    late = F.col("position").isNull()
+    error = F.when(F.length("url") > MAX_URL, f"Batch URL exceeds the {MAX_URL}-character limit.").when(late, f"Batch input exceeds {MAX_LIST} unique articles.")
+    return first.join(F.broadcast(listed), F.col("url") == F.col("_url"), "left").select("position", "url", error.alias("error"))
 
 
 def inline_image(source) -> tuple:

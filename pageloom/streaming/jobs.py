@@ -94,3 +94,50 @@ def read_once(puts: DataFrame, reads: DataFrame, ttl: int = RETENTION_SECONDS) -
     before = both.withColumn("last_kind", F.lag("kind").over(window)).withColumn("last_value", F.lag("value").over(window)).withColumn("last_at", F.lag("at").over(window))
     hit = (F.col("last_kind") == 0) & (F.col("at") - F.col("last_at") <= ttl)
     return before.filter("kind = 1").select("key", F.col("n").alias("read_id"), F.when(hit, F.col("last_value")).alias("value"))
+
+
+def current_answers(log: DataFrame, key: str = "key", order: str = "at") -> DataFrame:
+    """Answers of a log that belong to the generation that is running when they come; stale ones go.
+
+    ``log``: ``key, at, kind, generation``; a row of kind ``start`` begins the
+    next generation of its key (the first is 1), an ``answer`` names the one it was asked by.
+    """
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = F.count(F.when(F.col("kind") == "start", 1)).over(before)
+    return log.withColumn("_running", running).filter((F.col("kind") == "answer") & (F.col("generation") == F.col("_running"))).drop("_running")
+
+
+READ = "key string, read_id long, value string"
+
+
+def _store(ttl: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else None
+        given = []
+        for e in sorted((e for f in frames for e in f.astype(object).where(f.notna(), None).to_dict("records")), key=lambda e: (e["at"], e["kind"] != "put", e["read_id"] or 0)):
+            if e["kind"] == "put":
+                held = {"value": e["value"], "at": e["at"]}
+            else:
+                fresh = held is not None and e["at"] - held["at"] <= ttl
+                given.append({"key": key[0], "read_id": e["read_id"], "value": held["value"] if fresh else None})
+                held = None
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(held),))
+            state.setTimeoutDuration(ttl * 1000)
+        yield pd.DataFrame(given, columns=["key", "read_id", "value"])
+
+    return step
+
+
+def read_once_stream(events: DataFrame, ttl: int = RETENTION_SECONDS) -> DataFrame:
+    """Streaming: the store of :func:`read_once` as keyed state that is cleared when it is read or expires.
+
+    ``events``: ``key, kind`` (``put`` or ``read``), ``value, read_id, at``; a row for each read.
+    """
+    return events.groupBy("key").applyInPandasWithState(_store(ttl), READ, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

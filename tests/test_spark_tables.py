@@ -1,6 +1,7 @@
 """Sources, naming and state on DataFrames."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -71,13 +72,22 @@ def test_names_and_excerpts(spark):
     assert row[0] == "n-code-title" and row[1] == "article" and row[2] == "a-b.epub" and len(row[3]) == 178
 
 
+def stop_after(run, done, seconds=90):
+    """State with a timeout keeps a query running without data, so it is stopped once it has what it needs."""
+    until = time.monotonic() + seconds
+    while not done() and time.monotonic() < until and run.exception() is None:
+        time.sleep(0.2)
+    assert done(), run.exception()
+    run.stop()
+
+
 def test_job_stream(spark, tmp_path):
     events = [("a", "submit", 1.0, None, None, None, "html"), ("a", "start", 2.0, None, None, None, None), ("a", "finish", 3.0, None, None, "done", None), ("a", "progress", 4.0, 1, 2, "late", None), ("b", "submit", 1.0, None, None, None, "html")]
     schema = "job_id string, event string, at double, current long, total long, message string, payload string"
     spark.createDataFrame(events, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    run = jobs.job_snapshots(stream).writeStream.outputMode("update").format("memory").queryName("snaps").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = jobs.job_snapshots(stream).writeStream.outputMode("update").format("memory").queryName("snaps").option("checkpointLocation", str(tmp_path / "cp")).start()
+    stop_after(run, lambda: spark.table("snaps").count() >= 2)
     got = {r["job_id"]: (r["status"], r["result"]) for r in spark.table("snaps").collect()}
     assert got == {"a": ("completed", "done"), "b": ("queued", None)}
 
@@ -88,3 +98,22 @@ def test_retention(spark):
     got = {r["job_id"] for r in jobs.retained(log, F.lit(60.0)).collect()}
     assert got == {n for n in range(60) if n % 2} | {58}  # thirty wait, so one that ended stays
     assert {r["job_id"] for r in jobs.retained(log, F.lit(3630.5), capacity=100).collect()} == {n for n in range(60) if n % 2 or n > 30}
+
+
+def test_read_once_stream(spark, tmp_path):
+    schema = "key string, kind string, value string, read_id long, at double"
+    batches = [[("a", "put", "x", None, 1.0), ("b", "read", None, 1, 1.0), ("c", "put", "old", None, 0.0)], [("a", "read", None, 2, 2.0), ("c", "read", None, 3, 4000.0)], [("a", "read", None, 4, 3.0), ("c", "put", "new", None, 4001.0), ("c", "read", None, 5, 4002.0)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        run = jobs.read_once_stream(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
+        stop_after(run, lambda n=n: any(p["batchId"] >= n and p["numInputRows"] for p in run.recentProgress))
+    got = {r["read_id"]: r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: None, 2: "x", 3: None, 4: None, 5: "new"}
+
+
+def test_links_without_python_are_those_of_the_rules(spark):
+    links = ["/a", "/a/../b", "//h.com/x", "http://h.com/x", "HTTP://h.com", "x", "", None, "?q", "#f", "/a b", "/é", "mailto:x", "http://[::1]/x", "/.", "/a.html", "/a/./b", "https://h.com", "http://h.com:80/x?y#z", "/\\x"]
+    rows = spark.createDataFrame([(x, b) for x in links for b in ("http://g.org/p/q?r", "https://g.org:8/", "", None)], "link string, base string")
+    got = rows.select(urls.absolute_url("link", "base").alias("a"), urls.joined_url("link", "base").alias("b"), "link", "base").collect()
+    assert [(r.link, r.base, r.a) for r in got] == [(r.link, r.base, r.b) for r in got]

@@ -185,3 +185,22 @@ def test_job_states():
 def test_contexts():
     page = dom.parse("<body><main id='m'><section class='a b'><div><p title='t'>x</p></div></section></main></body>")
     assert blocks.context_of(page.first("p")) == "main id=m > section class=a b > div > p title=t"
+
+
+def test_progress_and_cancel():
+    html = "<body><article><h1>Feature title</h1>" + "".join(f"<p>{n} {TEXT * 5}</p>" for n in range(60)) + "</article></body>"
+    seen = []
+    row = review.reviewed_row(html, "http://h.com/", review.keep_all(), watch=review.Watch(lambda current, total: seen.append((current, total))))
+    assert row["analysis_mode"] == "ai" and seen == [(n, seen[-1][1]) for n in range(seen[-1][1] + 1)] and seen[-1][1] > 2
+    row = review.reviewed_row(html, "http://h.com/", review.keep_all(), watch=review.Watch(cancelled=lambda: len(seen) > 0))
+    assert row["error"] == review.CANCELLED and "html" not in row
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 9000), max_size=60))
+def test_windows_are_the_longest(sizes):
+    got = [*review.windows(sizes, 18000, 7, 2)]
+    assert [a for a, _ in got] == [max(a + 1, z - 2) for a, z in [(-1, 2), *got][:-1]] if got else not sizes
+    for a, z in got:
+        assert z - a == 1 or sum(sizes[a:z]) <= 18000 and z - a <= 7
+        assert z == len(sizes) or z - a == 7 or sum(sizes[a : z + 1]) > 18000
