@@ -296,7 +296,7 @@ def _slices_of(batch: pa.RecordBatch, *columns: str):
 
 
 class _Tally:
-    """Different keys with their counts in all that is learnt and in what is set aside, merged when twice as many wait as there are."""
+    """Different keys with their counts in all that is learnt and in what is set aside, merged when half as many wait as there are."""
 
     def __init__(self):
         self.parts, self.kept = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
@@ -304,7 +304,7 @@ class _Tally:
     def add(self, keys: np.ndarray, *weights: np.ndarray) -> None:
         different, code = _different(keys)
         self.parts.append((different, *(np.bincount(code, w, len(different)).astype(np.int64) for w in weights)))
-        if sum(len(p[0]) for p in self.parts) > max(2 * self.kept, 1 << 19):
+        if sum(len(p[0]) for p in self.parts) > self.kept + max(self.kept // 2, 1 << 19):
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, ...]:
@@ -344,6 +344,7 @@ def _asked(docs: DataFrame, order: int) -> DataFrame:
                     tallies[WORD].add(w.hash, *(np.repeat(x[lo:hi], np.diff(w.bound)) for x in weights))
                 for lo, hi, packed, begin in pieces(buf, off, order):
                     tallies[RUN].add(packed, *(np.repeat(x[lo:hi], np.diff(begin)) for x in weights))
+                pa.default_memory_pool().release_unused()
         if at is not None:
             yield from handed()
 
@@ -390,7 +391,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
                 if here != at:
                     at, known, pile = here, None, ([], [])
                 if kind < 2:
-                    pile[kind].append((part.column("key").to_numpy().view(_U), part.column("value").to_numpy()))
+                    pile[kind].append((part.column("key").to_numpy().view(_U).copy(), part.column("value").to_numpy().copy()))  # not the whole batch
                     continue
                 if known is None:
                     known = []
@@ -399,6 +400,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
                         own.clear()
                         rank = np.argsort(k)
                         known.append((k[rank], v[rank]))
+                    del k, v, rank
+                    pa.default_memory_pool().release_unused()
                 buf, off = text_bytes(part.column("text"))
                 tokens, seen_in, base, model = [], [], [], np.zeros(part.num_rows)
                 for lo, hi in doc_slices(off, PIECE):
