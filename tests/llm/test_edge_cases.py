@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pageloom.llm import chaining, chat, decontam, edit_tokens, imatch, jaccard, knn_quality, mixing, ppm, url_filter
 
-ODD = [(1, None), (2, ""), (3, "one"), (3, "one"), (None, "a null id with a few words"), (5, "long " * 40_000), (6, "!!!"), (7, "???"), (8, "w" * 300_000), (9, "é ü ß 字 😀")]
+ODD = [(1, None), (2, ""), (3, "one"), (3, "one"), (None, "a null id with a few words"), (5, "long " * 40_000), (6, "!!!"), (7, "???"), (8, "w" * 300_000), (9, "é ü ß 字 😀"), (None, "another text without an id"), (None, None), (5, "another text of five"), (2**63 - 1, "ids that are hashes"), (-(2**63), "a " * 30_000)]
 
 
 @pytest.fixture(scope="module")
