@@ -1,8 +1,8 @@
 """All queries of the engine by name, with the SQL that gives the same rows.
 
 Names end in the ids of the operators that they exercise. Every query reads
-whole tables. ``FIXTURES`` of small literal pages serve the operators whose
-branches the tables never take; their SQL lists the expected rows.
+whole tables. Where the tables' own rows never take a branch of an operator,
+pages and lines are made from the rows of a table, each with values of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions import settings
 from pageloom.functions import text as T
 from pageloom.functions import urls as U
 from pageloom.operators import captured, dom
@@ -35,6 +36,10 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
+def _cases(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return fixtures.frame(table(spark, sf_dir, "documents"), name)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -231,12 +236,16 @@ def escapes_F14(spark, sf_dir):
 @query(fixtures.sql("authors"))
 def author_names_F10(spark, sf_dir):
     """byline cleaning."""
-    return fixtures.frame(spark, "authors").select("given", T.author_name("given").alias("name"))
+    return _cases(spark, sf_dir, "authors").select("doc_id", T.author_name("given").alias("name"))
 
 
-@query(fixtures.sql("dates"))
+@query("select o_orderkey, case when o_orderkey % 5 < 2 then strftime(o_orderdate, '%Y-%m-%d') end as day from orders")
 def dates_F5(spark, sf_dir):
-    return fixtures.frame(spark, "dates").select("given", T.iso_date("given").cast("string").alias("day"))
+    """timestamps keep their local date; a day that doesn't exist, a spelt date and nothing give none."""
+    day, n = F.date_format("o_orderdate", "yyyy-MM-dd"), F.pmod("o_orderkey", F.lit(5))
+    given = F.when(n == 0, F.concat(day, F.lit("T23:30:00-05:00"))).when(n == 1, F.concat(F.lit(" "), day, F.lit(" "))).when(n == 2, F.concat(F.left(day, F.lit(4)), F.lit("-02-30")))
+    given = given.when(n == 3, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", given.alias("given")).select("o_orderkey", T.iso_date("given").cast("string").alias("day"))
 
 
 # ---------------------------------------------------------------- windows, votes, lists
@@ -503,35 +512,35 @@ def few_workers_R4(spark, sf_dir):
     return got.join(titles, "page_id").select("page_id", F.coalesce("title", title).alias("title"), F.col("error").isNull().cast("int").alias("ok"))
 
 
-# ---------------------------------------------------------------- fixtures
+# ---------------------------------------------------------------- cases over all documents
 
 
 @query(fixtures.sql("metadata"))
 def metadata_F2(spark, sf_dir):
     """F2-F8: where titles, authors and dates come from."""
-    got = extract_articles(fixtures.frame(spark, "metadata"))
+    got = extract_articles(_cases(spark, sf_dir, "metadata"))
     return got.select("page_id", "title", "author", "published_date")
 
 
 @query(fixtures.sql("rewrites"))
 def rewrites_T1(spark, sf_dir):
     """What trimming, noise removal, formulas and sanitizing leave."""
-    got = extract_articles(fixtures.frame(spark, "rewrites"))
+    got = extract_articles(_cases(spark, sf_dir, "rewrites"))
     return got.select("page_id", F.regexp_replace("html", "z{100}", "Z").alias("html"), F.array_join("warnings", "; ").alias("warnings"), "error")
 
 
 @query(fixtures.sql("reviewed"))
 def reviewed_blocks_H1(spark, sf_dir):
     """Labels and decisions of all blocks."""
-    got = review_articles(fixtures.frame(spark, "reviewed"), fixtures.rule_labeller)
+    got = review_articles(_cases(spark, sf_dir, "reviewed"), fixtures.rule_labeller)
     rows = got.select("page_id", F.explode("blocks").alias("b"))
-    return rows.select("page_id", F.col("b.block").alias("block"), F.col("b.label").alias("label"), F.col("b.excluded").alias("excluded"), F.left("b.text", F.lit(24)).alias("text"))
+    return rows.select("page_id", F.col("b.block").alias("block"), F.col("b.label").alias("label"), F.col("b.excluded").alias("excluded"), F.col("b.text").alias("text"))
 
 
 @query(fixtures.sql("fallback"))
 def review_fallback_R8(spark, sf_dir):
     """What a labeller that breaks the rules leads to."""
-    got = review_articles(fixtures.frame(spark, "reviewed"), fixtures.broken_labeller)
+    got = review_articles(_cases(spark, sf_dir, "reviewed"), fixtures.broken_labeller)
     return got.select("page_id", "analysis_mode", "fallback_reason", F.get("warnings", F.lit(0)).alias("warning"))
 
 
@@ -544,7 +553,7 @@ def reviewed_pages_D6(spark, sf_dir):
 @query(fixtures.sql("selection"))
 def preview_selection_A12(spark, sf_dir):
     """Preview blocks of reviewed articles and what is selected of them."""
-    blocks = preview.previews(review_articles(fixtures.frame(spark, "reviewed"), fixtures.rule_labeller))
+    blocks = preview.previews(review_articles(_cases(spark, sf_dir, "reviewed"), fixtures.rule_labeller))
     return preview.selection(blocks).select("page_id", "selected", "total", "images", "links", F.array_join("excluded", " | ").alias("excluded"))
 
 
@@ -569,43 +578,112 @@ def inert_markup_U9(spark, sf_dir):
 @query(fixtures.sql("requests"))
 def requests_S6(spark, sf_dir):
     """Validation of requests."""
-    return requests_.requests(fixtures.frame(spark, "requests")).select("id", "mode", "error")
+    return requests_.requests(_cases(spark, sf_dir, "requests")).select("id", "mode", "error")
+
+
+_EMAILS = "case c_custkey % 8 when 0 then concat('c', c_custkey, '@x.org') when 1 then concat('c', c_custkey, '@x') when 2 then concat('c ', c_custkey, '@x.org') when 3 then concat('c', c_custkey, '@@x.org') when 4 then concat('a.c', c_custkey, '+t@mail.x.org') when 5 then concat('.c', c_custkey, '@x.org') when 6 then concat(repeat('c', 250), c_custkey, '@x.org') end"
 
 
-@query(fixtures.sql("emails"))
+@query(f"select c_custkey, {_EMAILS} as email, c_custkey % 8 in (0, 4) as valid from customer")
 def emails_P7(spark, sf_dir):
-    return fixtures.frame(spark, "emails").select("email", requests_.valid_email("email").alias("valid"))
+    """Addresses that can be mailed."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(_EMAILS).alias("email")).withColumn("valid", requests_.valid_email("email"))
+
+
+_MAIL = {
+    "host": "case c_custkey % 9 when 3 then 'smtp://h.com' when 4 then '' else concat('mail', c_custkey, '.h.com') end",
+    "port": "case c_custkey % 9 when 1 then '25.5' when 2 then '65536' when 8 then ' 1 ' else '587' end",
+    "sender": "case c_custkey % 9 when 5 then 'me' when 2 then 'me' else concat('c', c_custkey, '@x.org') end",
+    "recipient": "case c_custkey % 9 when 6 then '  ' when 7 then 'you@' when 3 then '' else ' you@x.org ' end",
+}
+
+
+@query(
+    """select c_custkey, case c_custkey % 9 when 1 then 'The port must be a whole number between 1 and 65535.' when 2 then 'The port must be between 1 and 65535.' when 3 then 'The server must be a host name, not an address with a scheme.'
+when 4 then 'The server must be a host name, not an address with a scheme.' when 5 then 'The sender must be a valid email address.' when 6 then 'A recipient is needed.' when 7 then 'The recipient must be a valid email address.' end as error from customer"""
+)
+def mail_settings_P8(spark, sf_dir):
+    """What is wrong first with a mail server's settings."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", *(F.expr(e).alias(n) for n, e in _MAIL.items()))
+    return rows.select("c_custkey", settings.mail_error(*_MAIL).alias("error"))
+
+
+_EDGES = {
+    "token": "case c_custkey % 4 when 0 then repeat('k', 31) when 1 then concat(repeat('k', 32), ' ', c_custkey) else concat(repeat('~', 31), c_custkey) end",
+    "origin": "concat('chrome-extension://', repeat('p', 32), case c_custkey % 3 when 0 then '/' else '' end)",
+    "target": "case c_custkey % 5 when 0 then '' when 1 then concat('me@h', c_custkey, ' -x') when 2 then 'me' else concat('me@h', c_custkey) end",
+    "endpoint": "concat(case c_custkey % 7 when 0 then 'https://localhost:1' when 1 then 'http://localhost.x.org:1' when 2 then 'http://127.0.0.1' when 3 then 'HTTP://LocalHost:11434/' when 4 then 'http://localhost:0' when 5 then 'http://localhost@h.com:80' else 'http://127.0.0.1:8080' end, '/v', c_custkey)",
+}
+
+
+@query(
+    """with c as (select c_custkey, c_custkey % 4 > 1 as token, c_custkey % 3 <> 0 as origin, c_custkey % 5 not in (1, 2) as target, c_custkey % 7 in (3, 6) as endpoint from customer)
+select *, case when token and origin and target and endpoint then 'ok' else 'error' end as status from c"""
+)
+def security_edges_P9(spark, sf_dir):
+    """Tokens, origins, tunnel targets and endpoints, and whether all of them hold."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", *(F.expr(e).alias(n) for n, e in _EDGES.items()))
+    tests = (settings.valid_token, settings.valid_origin, settings.valid_target, settings.loopback_endpoint)
+    held = rows.select("c_custkey", *(test(c).alias(c) for c, test in zip(_EDGES, tests, strict=True)))
+    return held.withColumn("status", settings.checked(*map(F.col, _EDGES)))
 
 
 @query(fixtures.sql("options"))
 def reader_options_T6(spark, sf_dir):
     """Without images and links, under another title and author."""
-    got = extract_articles(fixtures.frame(spark, "options"), Options(images=False, links=False, title="New", author=""))
+    got = extract_articles(_cases(spark, sf_dir, "options"), Options(images=False, links=False, title="New", author=""))
     return got.select("page_id", "title", "author", F.regexp_replace("html", "z{100}", "Z").alias("html"))
 
 
 @query(fixtures.sql("captures"))
 def captures_S3(spark, sf_dir):
     """Validation of captures."""
-    return inputs.captures(fixtures.frame(spark, "captures")).select("id", "title", "publishedDate", "error")
+    return inputs.captures(_cases(spark, sf_dir, "captures")).select("id", "title", "publishedDate", "error")
+
 
+_INLINE = "case (conv_id + turn) % 4 when 0 then concat('data:image/png;base64,', replace(base64(encode(coalesce(text, ''), 'utf-8')), chr(13) || chr(10), '')) when 1 then concat('data:image/gif,a+', hex(encode(coalesce(text, ''), 'utf-8')), '%20') when 2 then 'data:image/png;base64,####' else concat('http://x.org/', turn, '.png') end"
+_KINDS = "case (conv_id + turn) % 4 when 0 then 'image/png' when 1 then 'image/gif' when 2 then 'image/png' else '' end"
+_BYTES = "case (conv_id + turn) % 4 when 0 then strlen(coalesce(text, '')) when 1 then 2 * strlen(coalesce(text, '')) + 3 end"
 
-@query(fixtures.sql("images"))
+
+@query(
+    f"""with recursive i as (select conv_id as page_id, turn as seq, {_KINDS} as kind, ({_BYTES})::int as bytes, row_number() over (partition by conv_id order by turn) r from conversations),
+s as (select *, coalesce(bytes, 0)::bigint * 10000 n from i), b as (select page_id, r, n <= 5242880 as fits, case when n <= 5242880 then n else 0 end total from s where r = 1
+union all select s.page_id, s.r, s.n <= 5242880 and total + s.n <= 52428800, total + case when s.n <= 5242880 and total + s.n <= 52428800 then s.n else 0 end from b join s on s.page_id = b.page_id and s.r = b.r + 1)
+select s.page_id, seq, kind, bytes, fits from s join b on s.page_id = b.page_id and s.r = b.r"""
+)
 def inline_images_S9(spark, sf_dir):
-    """Inline images and which of them fit the budget."""
-    rows = fixtures.frame(spark, "images")
+    """Inline images and which of them fit the budget; a byte counts as ten thousand."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("seq"), F.expr(_INLINE).alias("source"))
     kind, data = inputs.inline_image(F.col("source"))
-    read = rows.select("page_id", "seq", kind.alias("kind"), data.alias("data")).withColumn("size", F.coalesce(F.length("data"), F.lit(0)) * 1_000_000)
-    return read.join(inputs.budgeted(read), ["page_id", "seq"]).select("page_id", "seq", "kind", F.length("data").alias("bytes"), "fits")
+    read = rows.select("page_id", "seq", kind.alias("kind"), F.length(data).alias("bytes")).withColumn("size", F.coalesce("bytes", F.lit(0)).cast("long") * 10_000)
+    return read.join(inputs.budgeted(read), ["page_id", "seq"]).select("page_id", "seq", "kind", "bytes", "fits")
 
 
-@query(fixtures.sql("replies"))
+_FAILED = "(conv_id % 7 = 3 and turn = 2)"
+
+
+@query(
+    f"""with l as (select *, {_FAILED} failed, turn = 4 done from conversations), s as (select conv_id, min(turn) filter (where failed or done) stop from l group by conv_id)
+select l.conv_id as reply_id, coalesce(string_agg(text, '' order by turn) filter (where not failed and (stop is null or turn <= stop)), '') as text, max(case when failed then 'broken ' || l.conv_id end) as error, any_value(stop) is not null as ended
+from l join s on l.conv_id = s.conv_id group by l.conv_id"""
+)
 def replies_R5(spark, sf_dir):
-    """Streamed replies put together."""
-    return jobs.reply(fixtures.frame(spark, "replies"))
+    """Streamed replies put together; the fifth line is the last, and some replies fail at the third."""
+    failed = F.expr(_FAILED)
+    message = F.when(~failed, F.struct(F.col("text").alias("content"))).alias("message")
+    line = F.to_json(F.struct(message, (F.col("turn") == 4).alias("done"), F.when(failed, F.concat(F.lit("broken "), "conv_id")).alias("error")))
+    return jobs.reply(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("reply_id"), F.col("turn").alias("line_no"), line.alias("line")))
 
 
-@query(fixtures.sql("reads"))
+@query(
+    """with e as (select user_id::varchar as key, event_type = 'purchase' put, event_id, epoch_us(ts) as moment from events where event_type in ('purchase', 'view')),
+p as (select *, lead(event_id) over w next_id, lead(put) over w next_put, lead(moment) over w next_moment from e window w as (partition by key order by moment)),
+h as (select next_id, event_id::varchar as value from p where put and not next_put and next_moment - moment <= 43200000000)
+select key, event_id as read_id, value from e left join h on e.event_id = h.next_id where not put"""
+)
 def read_once_R6(spark, sf_dir):
-    """A store that forgets what was read."""
-    return jobs.read_once(fixtures.frame(spark, "puts"), fixtures.frame(spark, "reads"))
+    """A store that forgets what was read, and after half a day in any case."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    puts = log.filter("event_type = 'purchase'").select("key", F.col("event_id").cast("string").alias("value"), "at")
+    return jobs.read_once(puts, log.filter("event_type = 'view'").select("key", F.col("event_id").alias("read_id"), "at"), ttl=43200)

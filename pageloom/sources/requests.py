@@ -16,8 +16,9 @@ REQUEST = "sourceUrl string, html string, title string, author string, mode stri
 
 def valid_email(c) -> Column:
     """An address that can be mailed: at most 254 characters, a plain local part, a domain with a dot."""
+    c = F.col(c) if isinstance(c, str) else c
     atom = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
-    return F.coalesce((F.length(c) <= 254) & F.col(c).rlike(rf"^{atom}(?:\.{atom})*@{atom}(?:\.{atom})+$"), F.lit(False))
+    return F.coalesce((F.length(c) <= 254) & c.rlike(rf"^{atom}(?:\.{atom})*@{atom}(?:\.{atom})+$"), F.lit(False))
 
 
 def requests(rows: DataFrame, json: str = "json") -> DataFrame:

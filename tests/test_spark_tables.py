@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from pageloom.functions import text, urls
+from pageloom.functions import settings, text, urls
 from pageloom.operators import dom, relational
 from pageloom.plans.standard import extract_articles
 from pageloom.sources import epub, inputs
@@ -117,3 +117,15 @@ def test_links_without_python_are_those_of_the_rules(spark):
     rows = spark.createDataFrame([(x, b) for x in links for b in ("http://g.org/p/q?r", "https://g.org:8/", "", None)], "link string, base string")
     got = rows.select(urls.absolute_url("link", "base").alias("a"), urls.joined_url("link", "base").alias("b"), "link", "base").collect()
     assert [(r.link, r.base, r.a) for r in got] == [(r.link, r.base, r.b) for r in got]
+
+
+def test_settings_of_odd_forms(spark):
+    rows = [("h", "587", "a@x.org", "b@x.org", None), ("h h", "587", "a@x.org", "b@x.org", "host"), (None, "587", "a@x.org", "b@x.org", "host"), ("h", None, "a@x.org", "b@x.org", "whole"), ("h", "9" * 30, "a@x.org", "b@x.org", "between"), ("h", "0", None, None, "between"), ("h", "+25", "a@x.org", None, "recipient")]
+    got = spark.createDataFrame(rows, "h string, p string, s string, r string, said string").select(settings.mail_error("h", "p", "s", "r").alias("error"), "said").collect()
+    assert [(r.error is None) == (r.said is None) and (r.said or "") in (r.error or "") for r in got] == [True] * len(rows)
+
+
+def test_edges_match_whole_values(spark):
+    rows = [("k" * 32, "me@h", "http://localhost:1/v"), ("k" * 32 + "\n", "me@h\n", "http://localhost:1@h.com/"), ("k" * 31 + "é", "me@h@i", "http://localhost:65536"), (None, None, None), ("~" * 40, " ", "http://u:p@127.0.0.1:80?x")]
+    got = spark.createDataFrame(rows, "t string, g string, e string").select(settings.valid_token("t"), settings.valid_target("g"), settings.loopback_endpoint("e")).collect()
+    assert [tuple(r) for r in got] == [(True, True, True), (False, True, False), (False, False, False), (False, True, False), (True, True, True)]
