@@ -45,6 +45,8 @@ from pageloom.llm.common import _LOWER, Words, byte_class, crc_of, doc_slices, f
 ORDER, NEAR = 5, 3
 #: A bucket's text (the larger, the fewer runs and words are asked for more than once), and what is worked on at a time.
 BUCKET_BYTES, PIECE = 64 << 20, 1 << 20
+#: A bucket is a task of its own up to so many buckets; of more, several share a task one after the other.
+MOST_TASKS = 65_536
 BITS, START, END, SYMBOLS = 9, 0, 257, 257
 CODES = SYMBOLS + 1
 WORD, RUN = 0, 1
@@ -313,7 +315,12 @@ class _Tally:
         return self.parts[0]
 
 
-def _asked(docs: DataFrame, order: int) -> DataFrame:
+def _dealt(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+    """Rows by bucket, placed by its number: hashed buckets could meet in one partition while others stay empty."""
+    return rows.repartitionById(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket", *order)
+
+
+def _asked(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     """``bucket, kind, key, n, aside``: every different word and run of each bucket with its counts in training texts."""
 
     def different(batches):
@@ -348,7 +355,7 @@ def _asked(docs: DataFrame, order: int) -> DataFrame:
         if at is not None:
             yield from handed()
 
-    dealt = docs.select("bucket", "learn", (F.col("learn") & set_aside()).alias("aside"), "text").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = _dealt(docs.select("bucket", "learn", (F.col("learn") & set_aside()).alias("aside"), "text"), buckets)
     return dealt.mapInArrow(different, "bucket int, kind int, key long, n long, aside long")
 
 
@@ -371,7 +378,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     size = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("learn"), 1))).first()
     buckets, ends = max(1, -(-(size[0] or 0) // bucket_bytes)), size[1]
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
-    asked = settle(_asked(docs, order), "asked")
+    asked = settle(_asked(docs, order, buckets), "asked")
     totals = settle(asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside")), "totals")
     words, all_runs = totals.filter(F.col("kind") == WORD), totals.filter(F.col("kind") == RUN).select(F.col("key").alias("run"), "n", "aside")
     got = words.filter("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -434,7 +441,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     none = lambda kind: F.lit(None).cast(kind)
     given = answers.select("bucket", "kind", none(kind_id).alias("doc_id"), none("string").alias("text"), none("boolean").alias("learn"), "key", "value")
     texts = docs.select("bucket", F.lit(2).alias("kind"), "doc_id", "text", "learn", none("long").alias("key"), none("double").alias("value"))
-    dealt = given.unionAll(texts).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    dealt = _dealt(given.unionAll(texts), buckets, "kind")
     out = settle(dealt.mapInArrow(score, f"doc_id {kind_id}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
     forget(asked, totals, scores)
     return out
