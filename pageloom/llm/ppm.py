@@ -310,8 +310,21 @@ class _Tally:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, ...]:
-        self.parts = [summed(*map(np.concatenate, zip(*self.parts, strict=True)))]
-        self.kept = len(self.parts[0][0])
+        columns = [list(c) for c in zip(*self.parts, strict=True)]
+        self.parts.clear()
+
+        def whole(c: list[np.ndarray]) -> np.ndarray:  # the pieces go as soon as they are put together
+            out = np.concatenate(c)
+            c.clear()
+            return out
+
+        keys = whole(columns[0])
+        rank = np.argsort(keys, kind="stable")
+        keys = keys[rank]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        keys = keys[first]
+        self.kept = len(keys)
+        self.parts.append((keys, *(np.add.reduceat(whole(c)[rank], first) if len(first) else whole(c) for c in columns[1:])))
         return self.parts[0]
 
 
