@@ -87,7 +87,7 @@ def any_ids(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["few_workers_R4", "packages_K1"])
+@pytest.mark.parametrize("name", ["few_workers_R4", "file_names_K2", "packages_K1"])
 def test_same_rows_of_any_ids(spark, any_ids, name):
     folder, con = any_ids
     got = entry.queries()[name](spark, folder)
